@@ -57,8 +57,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _licenses_sql(threshold: float = 0.8) -> str:
     rows = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(license_scan.TEMPLATES))
-    words = "list_filter(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), w -> w <> '')"
-    grams = "list_distinct(CASE WHEN len(words) < 2 THEN words ELSE list_transform(range(1, len(words)), i -> words[i] || ' ' || words[i + 1]) END)"
+    words = "list_filter(string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    grams = "list_distinct(CASE WHEN len(words) < 2 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)"
     return f"""
 WITH t0(t_id, license, notice) AS (VALUES {rows}),
 t1 AS (SELECT t_id, license, {words.format("notice")} AS words FROM t0),
