@@ -124,7 +124,7 @@ def train(labelled: DataFrame, per_language: int = 2000, smoothing: float = 0.5)
     return languages, logs
 
 
-def _scored(batches, model):
+def _scored(batches, model, with_text=False):
     languages, logs = model.value
     table = np.ascontiguousarray(logs.T)
     for batch in batches:
@@ -145,10 +145,9 @@ def _scored(batches, model):
             best = int(sums[row].argmax())
             names.append(languages[best])
             scores.append(float(1 / np.exp(sums[row] - sums[row, best]).sum()))
-        others = [batch.column(k) for k in batch.schema.names if k != "text"]
+        others = [k for k in batch.schema.names if k != "text" or with_text]
         yield pa.RecordBatch.from_arrays(
-            [*others, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-            [*(k for k in batch.schema.names if k != "text"), "lang_pred", "score"],
+            [*map(batch.column, others), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*others, "lang_pred", "score"]
         )
 
 
@@ -157,6 +156,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def _predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as c0, c1 ... (the text, if wanted, as ``text``), lang_pred and score."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    given = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep) if k != "text"]
+    types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep) if k != "text")
+    types += ", text string" * ("text" in keep)
+    inner = docs.select(*given, F.col("text").alias("text"))
+    return inner.mapInArrow(lambda batches: _scored(batches, held, "text" in keep), f"{types}, lang_pred string, score double")
+
+
+def _renamed(keep: list[str]) -> list[Column]:
+    return [F.col("text") if k == "text" else F.col(f"c{i}").alias(k) for i, k in enumerate(keep)]
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs``, then lang_pred and score (the posterior of lang_pred).
 
@@ -164,12 +177,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     where no language was learned give ``und`` and 0; of equally likely
     languages the first by name is taken.  Repeated rows give repeated rows.
     """
-    given = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep)]
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*given, F.col("text").alias("text"))
-    types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    out = inner.mapInArrow(lambda batches: _scored(batches, held), f"{types}, lang_pred string, score double")
-    return out.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)), "lang_pred", "score")
+    return _predicted(docs, model, keep).select(*_renamed(keep), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of ``min_score`` at least, with their own columns."""
+    return _predicted(docs, model, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*_renamed(docs.columns))
 
 
 def identify(docs: DataFrame, per_language: int = 2000) -> DataFrame:

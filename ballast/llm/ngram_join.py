@@ -31,59 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import fresh_path, staged
+from ballast.llm.common import bounded_broadcast, fresh_path, staged
+from ballast.llm.text_hash import U as _U
+from ballast.llm.text_hash import mix as _mix
+from ballast.llm.text_hash import word_arrays
 
 WORDS = 5
 #: Size bands begin at these sizes and each is so many times as wide as the one before.
 FIRST, RATIO = 5, 1.5
-#: Text bytes hashed at once.
-CHUNK = 1 << 20
-#: Rows of a broadcast table of ids, about 24 bytes each; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 400_000
 #: A key's members whose number isn't known yet are passed on when so many are held.
 MAX_HELD = 50_000
 
-_U = np.uint64
+#: Byte by byte: white space to the space, A-Z to lower case.
 _space = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_rng = np.random.Generator(np.random.PCG64(20))
-_byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_byte[32] = 0
-_BASE = 0x9E3779B97F4A7C15
-_mult = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | _U(1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps))
-        _powers = tuple(tables)
-    return _powers
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word, and the place where it begins; words lie between spaces."""
-    codes = np.frombuffer(data, np.uint8)
-    powers, inverse = _power_tables(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_byte[codes] * powers[: len(codes)], out=sums[1:])
-    inside = np.zeros(len(codes) + 2, np.int8)
-    inside[1:-1] = codes != 32
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+_mult = np.random.Generator(np.random.PCG64(21)).integers(1, 1 << 63, WORDS, dtype=np.uint64) | _U(1)
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -97,53 +58,10 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def _slices(data: bytes):
-    """The text in slices of about CHUNK bytes that end at spaces."""
-    at = 0
-    while at < len(data):
-        end = at + CHUNK
-        if end < len(data):
-            end = data.find(b" ", end)
-            end = len(data) if end < 0 else end
-        yield data[at:end]
-        at = end
-
-
 def shingle_sets(texts: list[str | None]):
     """(row, sorted distinct hashes) of every text, in order."""
-    held, size = [], 0
-
-    def flush():
-        joined = b" ".join(held)
-        words, starts = _word_hashes(joined)
-        begins = np.cumsum([0] + [len(h) + 1 for h in held])
-        cuts = np.searchsorted(starts, begins)
-        for k in range(len(held)):
-            yield _shingles(words[cuts[k] : cuts[k + 1]])
-
-    done = 0
-    for text in texts:
-        data = (text or "").encode("utf-8", "surrogatepass").translate(_space)
-        if len(data) > CHUNK:
-            if held:
-                for found in flush():
-                    yield done, found
-                    done += 1
-                held, size = [], 0
-            yield done, _shingles(np.concatenate([_word_hashes(s)[0] for s in _slices(data)]))
-            done += 1
-            continue
-        held.append(data)
-        size += len(data)
-        if size >= CHUNK:
-            for found in flush():
-                yield done, found
-                done += 1
-            held, size = [], 0
-    if held:
-        for found in flush():
-            yield done, found
-            done += 1
+    for row, words in enumerate(word_arrays(texts, _space)):
+        yield row, _shingles(words)
 
 
 class Scheme:
@@ -354,11 +272,6 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def bounded_broadcast(df: DataFrame) -> DataFrame:
-    """Marks a table of ids for broadcast if it has no more than MAX_BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those whose sets are similar."""
     wanted = staged(pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
@@ -498,3 +411,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         full.join(names, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         .union(labelled.filter("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the one with the smallest doc_id.
+
+    Rows of empty sets and rows with a null doc_id all stay.  Of rows that
+    repeat a doc_id and are near duplicates one stays.
+    """
+    found = staged(near_duplicates(docs).filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
+    others = bounded_broadcast(found.filter("doc_id != component_id").select("doc_id"))
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id = component_id and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = bounded_broadcast(repeated)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

@@ -13,7 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
@@ -156,29 +156,43 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = 12
     return fit([rows[i] for i in order], got["grade"].to_numpy()[order], n_grades)
 
 
-def _graded(batches, held):
+def _graded(batches, held, with_text=False):
     model: Model = held.value
     for batch in batches:
         texts = batch.column("text").to_pylist()
         scores = np.array([model.weights[features(t)].sum(dtype=np.float64) for t in texts]).reshape(-1)
         below = model.cumulative(scores)
-        others = [batch.column(k) for k in batch.schema.names if k != "text"]
+        others = [k for k in batch.schema.names if k != "text" or with_text]
         yield pa.RecordBatch.from_arrays(
-            [*others, pa.array((1 - below).sum(axis=1)), pa.array(1 - below[:, -1])],
-            [*(k for k in batch.schema.names if k != "text"), "expected_grade", "p_top"],
+            [*map(batch.column, others), pa.array((1 - below).sum(axis=1)), pa.array(1 - below[:, -1])], [*others, "expected_grade", "p_top"]
         )
 
 
+def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` as c0, c1 ... (the text, if wanted, as ``text``), expected_grade and p_top."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    given = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep) if k != "text"]
+    types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep) if k != "text")
+    types += ", text string" * ("text" in keep)
+    inner = docs.select(*given, F.col("text").alias("text"))
+    return inner.mapInArrow(lambda batches: _graded(batches, held, "text" in keep), f"{types}, expected_grade double, p_top double")
+
+
+def _renamed(keep: list[str]) -> list[Column]:
+    return [F.col("text") if k == "text" else F.col(f"c{i}").alias(k) for i, k in enumerate(keep)]
+
+
 def grade(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, expected_grade and p_top, the probability of the top grade.
 
     Whole texts count; a null text is graded like an empty one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)), F.col("text").alias("text"))
-    types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep))
-    out = inner.mapInArrow(lambda batches: _graded(batches, held), f"{types}, expected_grade double, p_top double")
-    return out.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)), "expected_grade", "p_top")
+    return _scores(docs, model, keep).select(*_renamed(keep), "expected_grade", "p_top")
+
+
+def accepted(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` whose chance of the top grade is at least ``keep_from``, with their own columns."""
+    return _scores(docs, model, docs.columns).filter(F.col("p_top") >= keep_from).select(*_renamed(docs.columns))
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.llm import bpe, langid, license_scan, quality, token_counts, url_rules
+from ballast.llm import ann, arc, bpe, decontam, langid, license_scan, ngram_join, quality, token_counts, url_rules
 from ballast.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
     return bpe.read_ranks(path or public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and chance of the top grade (neither toxic nor of low quality) of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +40,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.archived(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after three edits whose places a hash of its id gives."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", token_counts.sample_edits().alias("edits"))
@@ -72,10 +88,41 @@ SELECT doc_id, license, count(*) AS n_hits, CAST(floor(max(dice) * 1000000 + 5e-
 FROM d WHERE dice >= {threshold} GROUP BY doc_id, license"""
 
 
+_ARCHIVES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST((CAST('0x' || substr(hex, 5 * CAST(k // 4 AS INT) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest
+      FROM h),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = kept THEN NULL ELSE kept END AS refers_to
+FROM m"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams
+  FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT a AS doc_id, a AS other FROM links
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, coalesce(min(other), s.doc_id) AS component_id
+FROM s LEFT JOIN reach USING (doc_id) GROUP BY s.doc_id, grams"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licenses": _licenses_sql()}
+    return {"op5_archives": _ARCHIVES_SQL, "op7_jaccard": _JACCARD_SQL, "op10_licenses": _licenses_sql()}
