@@ -254,7 +254,10 @@ def chain(query: str, stages: dict[str, str] = STAGES) -> str:
                     needed.append(name)
 
     visit(query)
-    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({stages[n].strip()})" for n in needed) + "\n" if needed else "") + query
+    if not needed:
+        return query
+    own = query.strip()
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({stages[n].strip()})" for n in needed) + (",\n" + own[5:] if own.startswith("WITH ") else "\n" + own)
 
 
 _P = "scene_id, point_id"
@@ -293,6 +296,26 @@ QUERIES: dict[str, str] = {
     "sl_grid": "SELECT scene_id, side, si, xi, n_ground, n_emb, n_ditch, n_total, cell FROM grid",
     "boundary_curves": f"SELECT scene_id, side, si, {mm('emb_outer')} AS emb_outer, {mm('ditch_inner')} AS ditch_inner, {mm('ditch_outer')} AS ditch_outer, edge_locked FROM curves",
     "boundary_smooth": f"SELECT scene_id, side, si, {mm('emb')} AS emb, {mm('inn')} AS ditch_inner, {mm('outr')} AS ditch_outer, {mm('emb_on')} AS emb_on, {mm('ditch_on')} AS ditch_on FROM wide",
+    "voxel_subsample": """
+SELECT scene_id, arg_min(point_id, (d2, point_id)) AS point_id
+FROM (SELECT *, (x - (kx + 5e-1) * 5e-1) * (x - (kx + 5e-1) * 5e-1) + (y - (ky + 5e-1) * 5e-1) * (y - (ky + 5e-1) * 5e-1) + (z - (kz + 5e-1) * 5e-1) * (z - (kz + 5e-1) * 5e-1) AS d2
+      FROM (SELECT *, floor(x / 5e-1) AS kx, floor(y / 5e-1) AS ky, floor(z / 5e-1) AS kz FROM classes))
+GROUP BY scene_id, kx, ky, kz""",
+    "raster_maxz": f"""
+SELECT scene_id, iy, ix, {mm("max(z)")} AS z
+FROM (SELECT *, CAST(floor((x - min(x) OVER w) / 5e-1) AS INT) AS ix, CAST(floor((y - min(y) OVER w) / 5e-1) AS INT) AS iy FROM classes WINDOW w AS (PARTITION BY scene_id))
+GROUP BY scene_id, iy, ix""",
+    "plot_parts": f"""
+SELECT {_S}, bin, CAST(sum(CASE WHEN gap > greatest(3 * mid, 1e-6) THEN 1 ELSE 0 END) OVER (PARTITION BY scene_id, section_id ORDER BY bin) AS BIGINT) AS part
+FROM (SELECT *, quantile_cont(gap, 5e-1) OVER (PARTITION BY scene_id, section_id) AS mid
+      FROM (SELECT *, x - lag(x) OVER (PARTITION BY scene_id, section_id ORDER BY x) AS gap FROM prof WHERE NOT rail))""",
+    "tile_assign": """
+WITH s AS (SELECT *, x - min(x) OVER w AS u, y - min(y) OVER w AS v, floor((max(x) OVER w - min(x) OVER w) / 40) AS nx, floor((max(y) OVER w - min(y) OVER w) / 40) AS ny FROM points WINDOW w AS (PARTITION BY scene_id)),
+t AS (SELECT scene_id, point_id, ty, tx FROM s JOIN range(0, 50) a(tx) ON tx <= nx AND u >= tx * 40 - 10 AND u < (tx + 1) * 40 + 10 JOIN range(0, 50) b(ty) ON ty <= ny AND v >= ty * 40 - 10 AND v < (ty + 1) * 40 + 10)
+SELECT scene_id, point_id, ty, tx FROM (SELECT *, count(*) OVER (PARTITION BY scene_id, ty, tx) AS n FROM t) WHERE n >= 1024""",
+    "viewer_buffers": f"""
+SELECT scene_id, point_id, CAST(floor(point_id / 500000e0) AS BIGINT) AS buffer_id, {mm("x - min(x) OVER w")} AS x, {mm("y - min(y) OVER w")} AS y, {mm("z - min(z) OVER w")} AS z, label
+FROM points WINDOW w AS (PARTITION BY scene_id)""",
     "ground_labels": "SELECT scene_id, point_id, label FROM final",
     "label_counts": "SELECT scene_id, label, count(*) AS n FROM final GROUP BY scene_id, label",
 }

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballast.operators import centerline, profile, smooth, split, tracks
+from ballast.config import EmbankmentConfig
+from ballast.operators import centerline, profile, smooth, split, tracks, voxel
+from ballast.plans.ditch import DitchPlan
+from ballast.plans.embankment import segment_embankment
 from ballast.plans.ground import GroundPlan
 from ballast.sources import scene
 
@@ -55,6 +58,38 @@ def _per_side(df: DataFrame) -> DataFrame:
     return df.filter("i = 0 and len >= 2")
 
 
+def _ditches(spark: SparkSession, sf_dir: str) -> DitchPlan:
+    """On the ground segmenter's labels, ditches taken back to ground."""
+    g = _ground(spark, sf_dir)
+    known = g.points.drop("label").join(g.labels, ["scene_id", "point_id"])
+    return DitchPlan(known.withColumn("label", F.when(F.col("label") == 11, 1).otherwise(F.col("label")).cast("int")))
+
+
+def ditch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ditches(spark, sf_dir).labels
+
+
+def ditch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.intervals(_ditches(spark, sf_dir).split).select("scene_id", "section_id", "side", "kind", mm("x_min").alias("x_min"), mm("x_max").alias("x_max"))
+
+
+def embankment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_embankment(scene.points(spark, sf_dir), scene.tracks(spark, sf_dir), EmbankmentConfig())
+
+
+def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = EmbankmentConfig()
+    return voxel.tiles(scene.points(spark, sf_dir), c.tile_size, c.tile_overlap, c.tile_min_points)
+
+
+def viewer_buffers(spark: SparkSession, sf_dir: str, size: int = 500_000) -> DataFrame:
+    """What a viewer would be sent: points from the scene's least x, y and z on, in buffers by point_id."""
+    points = scene.points(spark, sf_dir)
+    low = points.groupBy("scene_id").agg(*(F.min(a).alias(f"{a}0") for a in "xyz"))
+    moved = [mm(F.col(a) - F.col(f"{a}0")).alias(a) for a in "xyz"]
+    return points.join(low, "scene_id").select("scene_id", "point_id", F.floor(F.col("point_id") / size).alias("buffer_id"), *moved, _label())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "class_filter": _select(lambda g: g.classes, *_P, _label()),
@@ -92,6 +127,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sl_grid": _select(lambda g: smooth.label_grid(g.placed, g.c), "scene_id", "side", "si", "xi", "n_ground", "n_emb", "n_ditch", "n_total", "cell"),
         "boundary_curves": _select(lambda g: g.curves, "scene_id", "side", "si", "~emb_outer", "~ditch_inner", "~ditch_outer", "edge_locked"),
         "boundary_smooth": _select(lambda g: smooth.smooth_curves(g.curves, g.c), "scene_id", "side", "si", "~emb", mm("inner").alias("ditch_inner"), mm("outer").alias("ditch_outer"), "~emb_on", "~ditch_on"),
+        "voxel_subsample": _select(lambda g: voxel.subsample(g.classes, 0.5), *_P),
+        "raster_maxz": _select(lambda g: voxel.max_z(g.classes, 0.5), "scene_id", "iy", "ix", "~z"),
+        "plot_parts": _select(lambda g: voxel.plot_parts(g.profile.filter("not rail"), ["scene_id", "section_id"]), *_S, "bin", "part"),
+        "tile_assign": tile_assign,
+        "viewer_buffers": viewer_buffers,
+        "ditch_split": ditch_split,
+        "ditch_labels": ditch_labels,
+        "embankment_labels": embankment_labels,
         "ground_labels": _select(lambda g: g.labels, *_P, "label"),
         "label_counts": _select(lambda g: g.labels.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n")), "scene_id", "label", "n"),
     }
