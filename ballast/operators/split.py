@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ballast.config import DitchConfig, GroundConfig
 from ballast.operators.profile import SECTION, SIDE
 
-_side = Window.partitionBy(*SIDE)
+
+def _side():
+    return Window.partitionBy(*SIDE)
 
 
 def runs(profile: DataFrame, slope: float) -> DataFrame:
@@ -28,7 +30,7 @@ def runs(profile: DataFrame, slope: float) -> DataFrame:
 def first_run(kind: str, lo: Column, hi: Column, least: int) -> Column:
     """(i, end) of the side's first run as above, where end is the run's true end; null if there is none."""
     fits = (F.col("i") >= lo) & (F.col("i") + least <= hi) & (F.col(f"{kind}_end") - F.col("i") >= least)
-    return F.min(F.when(fits, F.struct(F.col("i"), F.col(f"{kind}_end").alias("end")))).over(_side)
+    return F.min(F.when(fits, F.struct(F.col("i"), F.col(f"{kind}_end").alias("end")))).over(_side())
 
 
 def embankment_end(profile: DataFrame, c: GroundConfig) -> DataFrame:
@@ -45,9 +47,9 @@ def ditch_interval(profile: DataFrame, c: GroundConfig) -> DataFrame:
     start, stop = F.col("search_start"), F.col("search_stop")
     from_rail = F.col("out_x") - F.col("__x0")
     out = (
-        profile.withColumn("__x0", F.min("out_x").over(_side))
-        .withColumn("search_start", F.count(F.when(from_rail < c.graph_ditch_search_min_m, 1)).over(_side))
-        .withColumn("search_stop", F.greatest("search_start", F.count(F.when(from_rail <= c.graph_ditch_search_max_m, 1)).over(_side)))
+        profile.withColumn("__x0", F.min("out_x").over(_side()))
+        .withColumn("search_start", F.count(F.when(from_rail < c.graph_ditch_search_min_m, 1)).over(_side()))
+        .withColumn("search_stop", F.greatest("search_start", F.count(F.when(from_rail <= c.graph_ditch_search_max_m, 1)).over(_side())))
     )
     capped = lambda run: F.least(stop, F.least(F.col(f"{run}.end"), F.col(f"{run}.i") + longest))
     begin = F.greatest("emb_end", "search_start")
@@ -83,7 +85,7 @@ def split_ditch(profile: DataFrame, c: DitchConfig) -> DataFrame:
     """Adds kind: ditch from the start of the first long rise that ends behind the noise to its end, else rest."""
     found = runs(profile, c.graph_uphill_slope)
     is_start = (F.col("up_end") - F.col("i") >= c.graph_min_uphill_points) & (F.col("up_end") > c.graph_noise_points)
-    rise = F.min(F.when(is_start, F.struct("i", F.col("up_end").alias("end")))).over(_side)
+    rise = F.min(F.when(is_start, F.struct("i", F.col("up_end").alias("end")))).over(_side())
     found = found.withColumn("__rise", rise)
     inside = F.col("__rise").isNotNull() & (F.col("i") < F.col("__rise.end")) & (F.col("i") >= F.lit(0))
     return found.withColumn("kind", F.when(inside, "ditch").otherwise("rest")).drop("__rise")

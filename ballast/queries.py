@@ -92,7 +92,7 @@ def viewer_buffers(spark: SparkSession, sf_dir: str, size: int = 500_000) -> Dat
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "class_filter": _select(lambda g: g.classes, *_P, _label()),
+        "class_filter": _select(lambda g: g.classes, *_P, _label),
         "scene_bbox": _select(lambda g: tracks.bounding_boxes(g.classes), "scene_id", "~x_min", "~x_max", "~y_min", "~y_max"),
         "track_vertices": _select(lambda g: tracks.decode_wkt(g.track_table), "scene_id", "track_id", "part", "seq", "~x", "~y"),
         "track_bbox_semi": _select(lambda g: tracks.select_tracks(tracks.decode_wkt(g.track_table), g.classes).select("scene_id", "track_id").distinct(), "scene_id", "track_id"),
@@ -102,12 +102,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "centerline_nodes": _select(lambda g: centerline.nodes(g.normalised.filter("is_rail"), g.c.curve_resolution), "scene_id", "kx", "ky", "~nx", "~ny"),
         "pca_axis": _select(
             lambda g: centerline.principal_axis(centerline.nodes(g.normalised.filter("is_rail"), g.c.curve_resolution)),
-            "scene_id", "~mx", "~my", mm(F.col("fx") * 1000).alias("fx"), mm(F.col("fy") * 1000).alias("fy"),
+            "scene_id", "~mx", "~my", lambda: mm(F.col("fx") * 1000).alias("fx"), lambda: mm(F.col("fy") * 1000).alias("fy"),
         ),
         "trace_medians": _select(lambda g: (lambda n: centerline.trace(n, centerline.principal_axis(n), g.c.curve_resolution))(centerline.nodes(g.normalised.filter("is_rail"), g.c.curve_resolution)), "scene_id", "bin", "n", "~u", "~v"),
         "centerline_vertices": _select(lambda g: g.line, "scene_id", "vtx", "~cx", "~cy"),
         "arc_length": _select(lambda g: g.line, "scene_id", "vtx", "~s"),
-        "section_cuts": _select(lambda g: g.cuts, *_S, "~s0", "~s1", "~p0x", "~p0y", mm(F.col("fx") * 1000).alias("fx"), mm(F.col("fy") * 1000).alias("fy")),
+        "section_cuts": _select(lambda g: g.cuts, *_S, "~s0", "~s1", "~p0x", "~p0y", lambda: mm(F.col("fx") * 1000).alias("fx"), lambda: mm(F.col("fy") * 1000).alias("fy")),
         "nearest_vertex": _select(lambda g: centerline.nearest_vertex(g.normalised, g.line), *_P, "vtx"),
         "section_assign": _select(lambda g: g.assigned, *_P, "section_id"),
         "rotate_section": _select(lambda g: g.rotated, *_P, "section_id", "~rx", "~ry"),
@@ -116,17 +116,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "xz_profile": _select(lambda g: g.profile, *_S, "bin", "~x", _z, "n", "rail"),
         "zx_profile": _select(_zx, *_S, "bin", "~x", "n"),
         "rail_side_split": _select(lambda g: profile.split_by_rail(g.profile), *_S, "side", "bin", _z),
-        "gap_fill": _select(lambda g: g.sides, *_S, "side", F.col("i").cast("long").alias("i"), "~x", _z, "n"),
-        "moving_mean": _select(lambda g: g.slopes, *_S, "side", F.col("i").cast("long").alias("i"), "~zs"),
-        "gradient": _select(lambda g: g.slopes, *_S, "side", F.col("i").cast("long").alias("i"), "~dz"),
-        "emb_end": _select(lambda g: _per_side(split.embankment_end(split.runs(g.slopes, g.c.graph_uphill_slope), g.c)), *_S, "side", F.col("emb_end").cast("long").alias("emb_end")),
-        "ditch_interval": _select(lambda g: _per_side(g.split), *_S, "side", "search_start", "search_stop", F.col("ditch_start").cast("long").alias("ditch_start"), F.col("ditch_end").cast("long").alias("ditch_end")),
+        "gap_fill": _select(lambda g: g.sides, *_S, "side", lambda: F.col("i").cast("long").alias("i"), "~x", _z, "n"),
+        "moving_mean": _select(lambda g: g.slopes, *_S, "side", lambda: F.col("i").cast("long").alias("i"), "~zs"),
+        "gradient": _select(lambda g: g.slopes, *_S, "side", lambda: F.col("i").cast("long").alias("i"), "~dz"),
+        "emb_end": _select(lambda g: _per_side(split.embankment_end(split.runs(g.slopes, g.c.graph_uphill_slope), g.c)), *_S, "side", lambda: F.col("emb_end").cast("long").alias("emb_end")),
+        "ditch_interval": _select(lambda g: _per_side(g.split), *_S, "side", "search_start", "search_stop", lambda: F.col("ditch_start").cast("long").alias("ditch_start"), lambda: F.col("ditch_end").cast("long").alias("ditch_end")),
         "profile_split": _select(lambda g: split.intervals(g.split), *_S, "side", "kind", "~x_min", "~x_max"),
-        "ground_unsmoothed": _select(lambda g: g.unsmoothed, *_P, _label()),
-        "sl_projection": _select(lambda g: centerline.project(g.unsmoothed, g.line), *_P, "~s", mm("lateral").alias("across")),
+        "ground_unsmoothed": _select(lambda g: g.unsmoothed, *_P, _label),
+        "sl_projection": _select(lambda g: centerline.project(g.unsmoothed, g.line), *_P, "~s", lambda: mm("lateral").alias("across")),
         "sl_grid": _select(lambda g: smooth.label_grid(g.placed, g.c), "scene_id", "side", "si", "xi", "n_ground", "n_emb", "n_ditch", "n_total", "cell"),
         "boundary_curves": _select(lambda g: g.curves, "scene_id", "side", "si", "~emb_outer", "~ditch_inner", "~ditch_outer", "edge_locked"),
-        "boundary_smooth": _select(lambda g: smooth.smooth_curves(g.curves, g.c), "scene_id", "side", "si", "~emb", mm("inner").alias("ditch_inner"), mm("outer").alias("ditch_outer"), "~emb_on", "~ditch_on"),
+        "boundary_smooth": _select(lambda g: smooth.smooth_curves(g.curves, g.c), "scene_id", "side", "si", "~emb", lambda: mm("inner").alias("ditch_inner"), lambda: mm("outer").alias("ditch_outer"), "~emb_on", "~ditch_on"),
         "voxel_subsample": _select(lambda g: voxel.subsample(g.classes, 0.5), *_P),
         "raster_maxz": _select(lambda g: voxel.max_z(g.classes, 0.5), "scene_id", "iy", "ix", "~z"),
         "plot_parts": _select(lambda g: voxel.plot_parts(g.profile.filter("not rail"), ["scene_id", "section_id"]), *_S, "bin", "part"),
