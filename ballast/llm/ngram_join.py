@@ -76,7 +76,7 @@ class Scheme:
             load = (low + high) / 2 / m
             weak = m * exp(-load) * (1 + load)  # segments of at most one element, which many sets may share
             entries = m + (v - 1) * (low + high) / 2
-            options.append((entries + 20 * weak, v, m))
+            options.append((entries + 4 * weak, v, m))
         _, self.v, self.m = min(options)
 
 
