@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import fresh_path
+from ballast.llm.common import fresh_path, small_batches
 
 #: Fields of a header line by version.
 FIELDS = {1: 5, 2: 10}
@@ -229,6 +229,7 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     largest page_id is a response (rows that share that page_id too), the others
     are revisits of it; if all their page_ids are null all are responses.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     groups = (

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.common import small_batches
+
 #: Texts longer than this are split piece by piece, for bounded memory.
 LONG = 1 << 20
 
@@ -35,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Pieces(dict):
     """Piece of text -> packed ids, filled on demand; holds at most LIMIT pieces."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -53,7 +55,7 @@ class Pieces(dict):
 class Words(dict):
     """What stands between two lone spaces -> packed ids of a space and it; holds at most LIMIT words."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, encoder: Encoder):
         super().__init__()
@@ -157,7 +159,7 @@ class Encoder:
                     key = last << 32 | token
                     fits = known.get(key)
                     if fits is None:
-                        if len(known) > 1_000_000:
+                        if len(known) > 500_000:
                             known.clear()
                         known[key] = fits = self.may_follow(last, token)
                     if fits:
@@ -238,6 +240,7 @@ def _decoded(batches, held, pattern):
 
 
 def _run(df: DataFrame, column: str, body, ranks: dict[bytes, int], pattern: str, types: str) -> DataFrame:
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(ranks))  # of the fixed size of a vocabulary file
     id_type = df.schema["doc_id"].dataType.simpleString()
     return df.select("doc_id", column).mapInArrow(lambda batches: body(batches, held, pattern), f"doc_id {id_type}, {types}")

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of a broadcast table of ids, about 24 bytes each; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 400_000
 
+#: Rows that are sent to Python at once: texts may be long, and a batch is in memory several times.
+BATCH_ROWS = 1000
+
 _local_dir: str | None = None
 
 
@@ -49,6 +52,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -66,3 +70,10 @@ def any_of(conditions: list[Column]) -> Column:
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Marks a table of ids for broadcast if it has no more than MAX_BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session send no more than BATCH_ROWS rows to Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, staged
+from ballast.llm.common import bounded_broadcast, small_batches, staged
 from ballast.llm.text_hash import U, word_arrays
 
 K1, B = 1.2, 0.75
@@ -260,6 +260,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wante
     repeated findings; an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select("doc_id", "text")
     types = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     n_shards = max(1, -(-items.count() // SHARD))

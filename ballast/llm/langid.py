@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.common import small_batches
+
 #: Width of the feature space, in bits, and the n of the n-grams.
 BITS, ORDERS = 16, (1, 2, 3)
 #: Largest log-probability matrix that is broadcast.
@@ -100,6 +102,7 @@ def train(labelled: DataFrame, per_language: int = 2000, smoothing: float = 0.5)
     of doc_id and text length, so that every language has its share however rare it is.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     known = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -158,6 +161,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` as c0, c1 ... (the text, if wanted, as ``text``), lang_pred and score."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     given = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep) if k != "text"]
     types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep) if k != "text")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, fresh_path, staged
+from ballast.llm.common import bounded_broadcast, fresh_path, small_batches, staged
 from ballast.llm.text_hash import U as _U
 from ballast.llm.text_hash import mix as _mix
 from ballast.llm.text_hash import word_arrays
@@ -265,10 +265,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verified(batches):
     for batch in batches:
-        keep = [
-            similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
-            for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
-        ]
+        sets = zip(batch.column("set_a"), batch.column("set_b"))
+        keep = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -324,6 +322,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     component is listed.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     path = fresh_path(spark, "shared-keys")
     entries = docs.mapInArrow(_entries, _ENTRY)

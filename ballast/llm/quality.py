@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.common import small_batches
+
 BITS = 18
 #: A document is kept when the chance of the top grade is at least this.
 KEEP_FROM = 0.5
@@ -39,7 +41,7 @@ def parts_of(text: str, size: int = PART):
 class _Buckets(dict):
     """The bucket of a token in lower case; holds at most LIMIT tokens."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.LIMIT:
@@ -170,6 +172,7 @@ def _graded(batches, held, with_text=False):
 
 def _scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` as c0, c1 ... (the text, if wanted, as ``text``), expected_grade and p_top."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     given = [F.col(k).alias(f"c{i}") for i, k in enumerate(keep) if k != "text"]
     types = ", ".join(f"c{i} {docs.schema[k].dataType.simpleString()}" for i, k in enumerate(keep) if k != "text")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.common import small_batches
 from ballast.llm.bpe import Encoder, Vocabulary, _double, encoder_for
 
 #: How many characters before a place can influence how the text splits there, and how many after.
@@ -187,6 +188,7 @@ def edited_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
     give repeated rows; further columns are ignored.  Returns doc_id, n_tokens,
     n_tokens_edited, n_reencoded (pre-tokens that the edits encoded anew).
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "edits").mapInArrow(
