@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.config import EmbankmentConfig
+from ballast.functions.units import mm
 from ballast.operators import centerline, profile, smooth, split, tracks, voxel
 from ballast.plans.ditch import DitchPlan
 from ballast.plans.embankment import segment_embankment
@@ -15,12 +16,6 @@ from ballast.plans.ground import GroundPlan
 from ballast.sources import scene
 
 
-def mm(value: Column | str) -> Column:
-    """A length as whole millimetres, so that comparisons don't hang on the last digit."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.floor(value * 1000 + 0.5).cast("long")
-
-
 def _ground(spark: SparkSession, sf_dir: str) -> GroundPlan:
     return GroundPlan(scene.points(spark, sf_dir), scene.tracks(spark, sf_dir))
 
