@@ -8,6 +8,7 @@ This gives the expected grade and tail probabilities for selection.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from ballast.llm.common import small_batches
 
 BITS = 18
+#: Beginnings of this length of longer words are features too; compounds and inflected words share them.
+PREFIX = 4
+#: A beginning is a feature once for each of these numbers of different words that have it.
+OFTEN = (1, 2, 3, 5)
 #: A document is kept when the chance of the top grade is at least this.
 KEEP_FROM = 0.5
 #: Texts are cut at white space into parts of about this many characters, for bounded memory.
@@ -56,8 +61,9 @@ _bucket = _Buckets()
 
 
 def features(text: str | None) -> np.ndarray:
-    """The sorted distinct buckets of a whole text: words in lower case, runs of symbols, and the shares of capitals and symbols."""
+    """The sorted distinct buckets of a whole text: words and their beginnings in lower case, runs of symbols, and the shares of capitals and symbols."""
     buckets: set[int] = set()
+    begun: Counter[str] = Counter()
     n = upper = symbols = 0
     for part in parts_of(text or ""):
         found = _token.findall(part)
@@ -65,7 +71,10 @@ def features(text: str | None) -> np.ndarray:
         if not part.islower():
             upper += sum(map(str.isupper, found))
         symbols += len(found) - sum(map(str.isalnum, found))
-        buckets.update(map(_bucket.__getitem__, set(found)))
+        distinct = set(found)
+        buckets.update(map(_bucket.__getitem__, distinct))
+        begun.update(w[:PREFIX] for w in distinct if len(w) > PREFIX)
+    buckets.update(_bucket[f"{w}\x00{least}"] for w, count in begun.items() for least in OFTEN if count >= least)
     buckets.add(_bucket[f"\x00up{min(8, 16 * upper // n) if n else 0}"])
     buckets.add(_bucket[f"\x00sy{min(12, 16 * symbols // n) if n else 0}"])
     out = np.fromiter(buckets, np.int32, len(buckets))
