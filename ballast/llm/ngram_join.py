@@ -16,6 +16,8 @@ one-deletion neighbourhood.
 * Documents with equal sets are one node.  In each key's group all members are
   compared with one hub; groups that thereby become one component are done, and
   of the rest all pairs of different components are compared.
+  There a sketch of parities, in which two sets differ in no more bits than
+  they have different elements, first drops pairs that differ too much.
 * Candidates are verified on their whole sets.
 
 Sets are held as 64-bit hashes of the shingles.
@@ -134,7 +136,14 @@ def node_of(shingles: np.ndarray) -> int:
     return int(_mix(np.array([np.add.reduce(_mix(shingles)) + _U(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
-_ENTRY = "key long, node long, tag int"
+_ENTRY = "key long, node long, tag int, sketch array<long>"
+#: Bits of a sketch: the parities of the number of elements by hash.  Sets that differ in n elements differ in n bits at most.
+SKETCH_BITS = 1024
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _entries(batches):
@@ -149,11 +158,12 @@ def _entries(batches):
             k = np.concatenate([*keys, np.array([d[0] for d in doc_rows], np.int64)])
             t = np.concatenate([*tags, np.array([d[2] for d in doc_rows], np.int32)]).astype(np.int32)
             n = pa.concat_arrays([pa.array(np.concatenate(nodes) if nodes else np.zeros(0, np.int64)), pa.array([d[1] for d in doc_rows], pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(k), n, pa.array(t)], ["key", "node", "tag"])
+            sketches = pa.concat_arrays([pa.nulls(len(k) - len(doc_rows), pa.list_(pa.int64())), pa.array([d[3] for d in doc_rows], pa.list_(pa.int64()))])
+            return pa.RecordBatch.from_arrays([pa.array(k), n, pa.array(t), sketches], ["key", "node", "tag", "sketch"])
 
         for row, shingles in shingle_sets(batch.column("text").to_pylist()):
             node, size = node_of(shingles), len(shingles)
-            doc_rows.append((node, ids[row], -1 - size))
+            doc_rows.append((node, ids[row], -1 - size, sketch_of(shingles) if size >= 4 else None))
             if size < 4 or node in seen:
                 continue
             if len(seen) >= 1_000_000:
@@ -189,7 +199,8 @@ def _shared_keys(batches):
     passed = False
 
     def out(keys, nodes, tags, counts):
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(tags), pa.array(counts)], ["key", "node", "tag", "c"])
+        none = pa.nulls(len(keys), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes), pa.array(tags), none, pa.array(counts)], ["key", "node", "tag", "sketch", "c"])
 
     def closed(keys, nodes, tags):
         if len(keys) == 0:
@@ -208,7 +219,7 @@ def _shared_keys(batches):
         docs = tags < 0
         if docs.any():
             part = batch.filter(pa.array(docs))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.zeros(part.num_rows, np.int64))], ["key", "node", "tag", "c"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.zeros(part.num_rows, np.int64))], ["key", "node", "tag", "sketch", "c"])
             batch = batch.filter(pa.array(~docs))
             tags = batch.column("tag").to_numpy()
         if batch.num_rows == 0:
@@ -330,12 +341,14 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries.mapInArrow(_shared_keys, f"{_ENTRY}, c long").write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
     found = spark.read.schema(f"{_ENTRY}, c long").parquet(path)
-    members = found.filter("tag < 0").select(F.col("node").alias("doc_id"), F.col("key").alias("node"), (-1 - F.col("tag")).alias("n"))
+    members = found.filter("tag < 0").select(F.col("node").alias("doc_id"), F.col("key").alias("node"), (-1 - F.col("tag")).alias("n"), "sketch")
+    sketches = members.filter("n >= 4").select("node", "sketch")
+    members = members.drop("sketch")
     nodes = staged(members.filter("n >= 4").groupBy("node", "n").agg(F.min("doc_id").alias("rep")).mapInArrow(_needs, "node long, n int, rep long, need int, capacity int, units int"), "nodes")
 
     by_node, by_segment = Window.partitionBy("node"), Window.partitionBy("node", "segment")
     own = (
-        found.filter("tag >= 0").join(nodes.drop("rep"), "node")
+        found.filter("tag >= 0").drop("sketch").join(nodes.drop("rep"), "node")
         .withColumn("foreign", F.col("tag").bitwiseAND(2) != 0)
         .withColumn("deleted", F.col("tag").bitwiseAND(1) != 0)
         .withColumn("segment", F.when(F.col("foreign"), -1).otherwise(F.shiftright("tag", 3)))
@@ -364,10 +377,14 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if work == 0:
             break
         open_entries = entries.join(per_key.select("key", "main"), "key")
-        last = tested is not None and work <= max(1_000_000, 3 * size) or work <= 100_000
-        if last:  # all pairs of different components
-            few = open_entries.filter("comp != main").select("key", *_as("x_"))
-            pairs = few.join(open_entries.select("key", "main", *_as("y_")), "key").filter(_pairs("x_", "y_"))
+        last = tested is not None and work <= max(500_000_000, 1000 * size) or work <= 100_000
+        if last:  # all pairs of different components whose sketches don't differ by too much
+            own_sketch = sketches.join(open_entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+            drawn = staged(open_entries.join(own_sketch, "node"), "open")
+            few = drawn.filter("comp != main").select("key", *_as("x_"), F.col("sketch").alias("x_sketch"))
+            bits = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+            alike = bits <= F.floor((F.col("x_n") + F.col("y_n")) / 9)
+            pairs = few.join(drawn.select("key", *_as("y_"), F.col("sketch").alias("y_sketch")), "key").filter(_pairs("x_", "y_") & alike)
         else:  # all members against the smallest
             hubs = entries.join(per_key.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("node", "n", "deleted", "foreign", "probe", "comp")).alias("hub"))
             hubs = staged(hubs.select("key", "hub.*").select("key", *_as("x_")), "hubs")
