@@ -63,6 +63,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def row_key() -> Column:
+    """A key of a row of ``docs(doc_id, text)`` that is never null: rows of the same key hold the same id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, fresh_path, small_batches, staged
+from ballast.llm.common import bounded_broadcast, fresh_path, row_key, small_batches, staged
 from ballast.llm.text_hash import U as _U
 from ballast.llm.text_hash import mix as _mix
 from ballast.llm.text_hash import word_arrays
@@ -430,16 +430,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the one with the smallest doc_id.
+    """The rows of ``docs`` without near duplicates: of each component one with the smallest doc_id.
 
-    Rows of empty sets and rows with a null doc_id all stay.  Of rows that
-    repeat a doc_id and are near duplicates one stays.
+    Rows are told apart by id and text, so rows that repeat a doc_id with
+    texts that are no near duplicates are decided each for itself.  A null doc_id
+    comes after all others.  Rows of empty sets all stay.
     """
-    found = staged(near_duplicates(docs).filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
-    others = bounded_broadcast(found.filter("doc_id != component_id").select("doc_id"))
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("doc_id = component_id and n > 1").select("doc_id")
+    keyed = docs.withColumn("__row", row_key())
+    labelled, _ = join(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    found = labelled.filter("n > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("n"))
+    found = staged(found.join(keyed.select("__row", "doc_id").distinct(), "__row"), "classes")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")).select("__row")
+    first = staged(first, "first")
+    others = bounded_broadcast(found.select("__row").join(bounded_broadcast(first), "__row", "left_anti"))
+    kept = keyed.join(others, "__row", "left_anti")
+    repeated = found.filter("n > 1").join(bounded_broadcast(first), "__row", "left_semi").select("__row")
     if repeated.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     repeated = bounded_broadcast(repeated)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.join(repeated, "__row", "left_anti").select(*docs.columns).union(once.select(*docs.columns))

@@ -4,7 +4,7 @@ import textwrap
 
 import pytest
 
-from ballast.llm import license_scan
+from ballast.llm import decontam, license_scan, ngram_join
 
 DOCS = "doc_id long, text string"
 
@@ -47,3 +47,20 @@ def test_licence_passages_against_brute_force(spark):
     dice = [2 * len(set(grams[a:b]) & wanted) / (len(set(grams[a:b])) + len(wanted)) for a in range(len(grams)) for b in range(a + 1, len(grams) + 1)]
     row = license_scan.passages(frame(spark, [(1, text)]), [(name, notice)]).first()
     assert (row["n_hits"], row["dice"]) == (2, pytest.approx(max(dice)))
+
+
+# rows of the pipeline
+
+
+def words(n, seed):
+    return " ".join(f"w{(seed * 7919 + k * k * 31 + k) % 997}" for k in range(n))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_representatives_are_rows(spark):
+    a, b, c = (words(60, seed) for seed in (1, 2, 3))
+    docs = frame(spark, [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, c), (4, c), (4, a), (5, ""), (5, None)])
+    assert rows_of(ngram_join.representatives(docs)) == sorted([(1, a), (2, b), (4, c), (5, ""), (5, None)], key=repr)
