@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, small_batches, staged
+from ballast.llm.common import bounded_broadcast, row_key, small_batches, staged
 from ballast.llm.text_hash import U, word_arrays
 
 K1, B = 1.2, 0.75
@@ -276,6 +276,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wante
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their own columns; rows with a null doc_id all stay."""
-    found = staged(leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(bounded_broadcast(found), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no test item, with their own columns; each row by its own text, whatever its doc_id."""
+    keyed = docs.withColumn("__row", row_key())
+    found = staged(leaks(keyed.select(F.col("__row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__row")).distinct(), "leaks")
+    return keyed.join(bounded_broadcast(found), "__row", "left_anti").select(*docs.columns)

@@ -64,3 +64,13 @@ def test_representatives_are_rows(spark):
     a, b, c = (words(60, seed) for seed in (1, 2, 3))
     docs = frame(spark, [(1, a), (2, a + " end"), (2, b), (3, b + " end"), (4, c), (4, c), (4, a), (5, ""), (5, None)])
     assert rows_of(ngram_join.representatives(docs)) == sorted([(1, a), (2, b), (4, c), (5, ""), (5, None)], key=repr)
+
+
+def test_rows_without_an_id_are_filtered(spark):
+    a, b = words(60, 1), words(60, 2)
+    docs = frame(spark, [(None, a), (7, a), (None, b), (None, b), (None, b + " end"), (None, None)])
+    kept = rows_of(ngram_join.representatives(docs))
+    assert len(kept) == 3 and {r for r in kept if r[1] != b and r[1] != b + " end"} == {(7, a), (None, None)}
+    item = words(30, 9) + ". " + words(8, 11) + "."
+    docs = frame(spark, [(None, f"{a} {item} {b}"), (None, a), (3, b), (3, f"{b} {item}"), (None, None)])
+    assert rows_of(decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))) == sorted([(None, a), (3, b), (None, None)], key=repr)
