@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +70,22 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(wanted & grams(passage, min(5, len(part)))) / len(wanted)
 
 
+class Statistics:
+    """Of all items with words: their number, mean length, and by word how many hold it."""
+
+    def __init__(self, n: int, mean: float, holding: dict[str, int]):
+        self.n, self.mean, self.holding = n, mean, holding
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Statistics:
+        bags = [b for b in (words_of(t or "") for t in texts) if b]
+        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(w for b in bags for w in set(b)))
+
+
 class Index:
-    """Items of one length class, in blocks; postings by term."""
+    """Items of one length class, in blocks; postings by term, weighed by the statistics of all items."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int, str]], width: int, known: Statistics):
         #: Passages are 2 * width words, and begin every width words.
         self.width = width
         items = sorted(items, key=lambda x: (words_of(x[1]), x[0] is None, x[0] or 0))  # like texts share blocks
@@ -80,14 +93,13 @@ class Index:
         self.texts = [t for _, t in items]
         bags = [words_of(t) for t in self.texts]
         self.n_blocks = -(-len(items) // BLOCK)
-        mean = sum(map(len, bags)) / len(bags)
         found: dict[str, dict[int, int]] = {}
         for k, bag in enumerate(bags):
             for w in bag:
                 own = found.setdefault(w, {})
                 own[k] = own.get(k, 0) + 1
-        idf = {w: math.log(1 + (len(items) - len(p) + 0.5) / (len(p) + 0.5)) for w, p in found.items()}
-        impact = lambda w, k, tf: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[k]) / mean))
+        idf = {w: math.log(1 + (known.n - known.holding[w] + 0.5) / (known.holding[w] + 0.5)) for w in found}
+        impact = lambda w, k, tf: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bags[k]) / known.mean))
         own = [0.0] * len(items)
         for w, p in found.items():
             for k, tf in p.items():
@@ -150,12 +162,13 @@ class Index:
 class Indexes:
     """Indexes by length class, items of up to 16, 32, 64 ... words, and their joint vocabulary; items without words are left out."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], known: Statistics | None = None):
+        known = known or Statistics.of([t for _, t in items])
         classes: dict[int, list[tuple[int, str]]] = {}
         for item_id, text in items:
             if n := len(words_of(text or "")):
                 classes.setdefault(max(16, 1 << (n - 1).bit_length()), []).append((item_id, text))
-        self.indexes = [Index(own, width) for width, own in sorted(classes.items())]
+        self.indexes = [Index(own, width, known) for width, own in sorted(classes.items())]
         words = sorted({w for index in self.indexes for w in index.terms})
         hashes = np.array([next(word_arrays([w], _separators))[0] for w in words], np.uint64)
         order = np.argsort(hashes)
@@ -250,6 +263,21 @@ def _scanned(batches, held, threshold, wanted):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
 
+def _item_words(batches):
+    """(shard, word, n, total) of the items of a batch: how many hold a word; under no word their number and their words in all."""
+    for batch in batches:
+        found: dict[tuple[int, str | None], list[int]] = {}
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+            if bag := words_of(text or ""):
+                for word in (None, *set(bag)):
+                    own = found.setdefault((shard, word), [0, 0])
+                    own[0] += 1
+                    own[1] += len(bag)
+        columns = [[s for s, _ in found], [w for _, w in found], [n for n, _ in found.values()], [t for _, t in found.values()]]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "word", "n", "total"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wanted: float = OVERLAP) -> DataFrame:
     """The test items of ``items(item_id, text)`` that texts of ``docs(doc_id, text)`` hold.
 
@@ -265,11 +293,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, wante
     types = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     n_shards = max(1, -(-items.count() // SHARD))
     shard_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards))
-    out = None
+    known, out = None, None
+    if n_shards > 1:
+        counted = items.select(shard_of.alias("shard"), "text").mapInArrow(_item_words, "shard long, word string, n long, total long")
+        by_shard = staged(counted.groupBy("shard", "word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "item-words")
+        in_all = staged(by_shard.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+        every = by_shard.filter("word is null").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     for shard in range(n_shards):
+        if n_shards > 1:
+            holding = in_all.join(by_shard.filter((F.col("shard") == shard) & F.col("word").isNotNull()).select("word"), "word", "left_semi")
+            known = Statistics(every["n"] or 0, (every["total"] or 0) / max(1, every["n"] or 0), dict(map(tuple, holding.collect())))  # the words of about SHARD items
         own = items.filter(shard_of == shard) if n_shards > 1 else items
         rows = [(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()]  # about SHARD rows
-        held = spark.sparkContext.broadcast(Indexes(rows))
+        held = spark.sparkContext.broadcast(Indexes(rows, known))
         found = given.mapInArrow(lambda batches, held=held: _scanned(batches, held, threshold, wanted), types)
         out = found if out is None else out.union(found)
     return out

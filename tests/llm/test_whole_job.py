@@ -74,3 +74,27 @@ def test_rows_without_an_id_are_filtered(spark):
     item = words(30, 9) + ". " + words(8, 11) + "."
     docs = frame(spark, [(None, f"{a} {item} {b}"), (None, a), (3, b), (3, f"{b} {item}"), (None, None)])
     assert rows_of(decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))) == sorted([(None, a), (3, b), (None, None)], key=repr)
+
+
+# BM25
+
+
+def test_scores_do_not_depend_on_classes_or_shards(spark, monkeypatch):
+    items = [(k, words(12 + 3 * k, k) + ". common words here.") for k in range(12)]
+    known = decontam.Statistics.of([t for _, t in items])
+    bags = [decontam.words_of(t) for _, t in items]
+    assert (known.n, known.mean) == (12, sum(map(len, bags)) / 12)
+    assert known.holding["common"] == 12
+    impacts = {}
+    for part in (items, items[:5], items[5:]):
+        for index in decontam.Indexes(part, known).indexes:
+            for word, term in index.terms.items():
+                for at, value in zip(index.postings[term], index.impacts[term]):
+                    assert impacts.setdefault((word, index.ids[at]), value) == pytest.approx(value)
+    docs = frame(spark, [(k, " ".join(t.split()[: 3 * len(t.split()) // 4]) + " " + words(20, 50 + k)) for k, t in items])
+    table = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(docs, table, 0.2, 0.0).collect()}
+    monkeypatch.setattr(decontam, "SHARD", 4)
+    parts = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(docs, table, 0.2, 0.0).collect()}
+    assert whole and parts.keys() == whole.keys()
+    assert all(parts[k] == pytest.approx(whole[k]) for k in whole)
