@@ -19,13 +19,14 @@ def grown(points: DataFrame, c: EmbankmentConfig) -> DataFrame:
     """scene_id, point_id, found of ``points(scene_id, point_id, x, y, z, is_rail)``.
 
     Tiles are independent: all grow from the tracks, and a point is found if
-    any tile finds it.  The overlap is wider than the mask can grow.
+    any tile finds it.  The overlap is wider than the mask can grow.  Tiles of
+    few points are searched too: what is left out here would vote as not found.
     """
     sizes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
     sized = points.join(sizes, "scene_id")
     whole = sized.filter(F.col("n") <= TILE_POINTS).withColumn("ty", F.lit(0).cast("long")).withColumn("tx", F.lit(0).cast("long"))
     large = sized.filter(F.col("n") > TILE_POINTS)
-    cut = large.join(voxel.tiles(large, c.tile_size, c.tile_overlap, c.tile_min_points), ["scene_id", "point_id"])
+    cut = large.join(voxel.tiles(large, c.tile_size, c.tile_overlap, 1), ["scene_id", "point_id"])
 
     def tile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("point_id")
