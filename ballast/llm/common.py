@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +16,64 @@ from pyspark.sql import functions as F
 #: Rows of a broadcast table of ids, about 24 bytes each; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 400_000
 
-#: Rows that are sent to Python at once: texts may be long, and a batch is in memory several times.
-BATCH_ROWS = 1000
+#: Rows that are sent to Python at once, and about how many bytes: a batch is in memory several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 _local_dir: str | None = None
 
+#: What empties the caches that a Python worker holds, by operator.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache(operator: str, empty: Callable[[], None]) -> None:
+    _caches[operator] = empty
+
+
+def task(operator: str, keep: bool = False) -> Callable:
+    """Wraps the body of a mapInArrow, as Python workers live on and take tasks of any operator.
+
+    A task first empties the caches that other operators left in its worker, and
+    at its end its own (unless the next task of the operator had better
+    ``keep`` them), and gives freed memory back to the system.
+    """
+
+    def wrapper(body):
+        @wraps(body)
+        def run(*given, **named):
+            for other, empty in _caches.items():
+                if other != operator:
+                    empty()
+            try:
+                yield from body(*given, **named)
+            finally:
+                if not keep and operator in _caches:
+                    _caches[operator]()
+                _trim()
+
+        return run
+
+    return wrapper
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in local mode) a temporary folder
-    of this machine is made and removed at exit.
+    Where the session has none, in local mode (as in tests) a temporary folder
+    of this machine is made and removed at exit; on a cluster that is an error.
     """
     global _local_dir
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="ballast-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
@@ -78,7 +122,8 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes the session send no more than BATCH_ROWS rows to Python at once."""
+    """Makes the session send no more than BATCH_ROWS rows and about BATCH_BYTES bytes to Python at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
