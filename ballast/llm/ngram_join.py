@@ -14,10 +14,16 @@ one-deletion neighbourhood.
   costs nothing to probe; each document probes its cheapest segments until
   their ``v_i`` suffice, so most documents probe nothing at all.
 * Documents with equal sets are one node.  In each key's group all members are
-  compared with one hub; groups that thereby become one component are done, and
-  of the rest all pairs of different components are compared.
-  There a sketch of parities, in which two sets differ in no more bits than
-  they have different elements, first drops pairs that differ too much.
+  compared with the most central one, its hub; groups that thereby become one
+  component are done.
+* Groups that are left in which up to ``SMALL`` nodes ask, or up to ``SMALL``
+  answer, compare the rest in pairs.  A sketch of parities, in which two sets differ in no more bits than they have
+  different elements, first drops pairs that differ too much.
+* Larger ones are cut by what their members differ in from their hub
+  (``delta_entries``): a member that is not similar to the hub can only be
+  similar to one that shares some of its differences, so the rarest of these
+  become the keys of smaller groups, with which all begins anew.  So the work
+  grows with the members of a group, not with their pairs.
 * Candidates are verified on their whole sets.
 
 Sets are held as 64-bit hashes of the shingles.
@@ -30,10 +36,10 @@ from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, fresh_path, row_key, small_batches, staged
+from ballast.llm.common import bounded_broadcast, fresh_path, row_key, small_batches, staged, task
 from ballast.llm.text_hash import U as _U
 from ballast.llm.text_hash import mix as _mix
 from ballast.llm.text_hash import word_arrays
@@ -43,6 +49,14 @@ WORDS = 5
 FIRST, RATIO = 5, 1.5
 #: A key's members whose number isn't known yet are passed on when so many are held.
 MAX_HELD = 50_000
+#: A group is compared in pairs if no more than so many of its nodes ask or no more than so many answer.
+SMALL = 2000
+#: Groups that are still larger after so many levels of smaller groups are compared in pairs nevertheless.
+LEVELS = 5
+#: Bytes of a broadcast table of hubs' sets; beyond it the join shuffles.
+MAX_BROADCAST_BYTES = 16 << 20
+#: Links whose components one task finds; beyond it they are found in rounds of stars.
+MAX_LOCAL_LINKS = 500_000
 
 #: Byte by byte: white space to the space, A-Z to lower case.
 _space = bytes(32 if c in b"\x20\x09\x0a\x0b\x0c\x0d" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -146,6 +160,7 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+@task("ngram_join")
 def _entries(batches):
     """For each document a row (key: node, node: doc_id, tag: -1 - size), and once for each set that this task sees its keys."""
     seen: set[int] = set()
@@ -188,6 +203,7 @@ def _entries(batches):
         yield flush()
 
 
+@task("ngram_join")
 def _shared_keys(batches):
     """Of entries sorted by key and node those whose key may link two nodes, with the number of its nodes; document rows as they are.
 
@@ -245,6 +261,7 @@ def _shared_keys(batches):
             yield done
 
 
+@task("ngram_join")
 def _needs(batches):
     """Adds to (node, rep, n) what a set must probe in its own scheme: need, capacity and units of a segment."""
     for batch in batches:
@@ -256,6 +273,7 @@ def _needs(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in columns)], [*batch.schema.names, "need", "capacity", "units"])
 
 
+@task("ngram_join")
 def _sets(batches):
     for batch in batches:
         nodes, blobs = [], []
@@ -274,6 +292,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+@task("ngram_join")
 def _verified(batches):
     for batch in batches:
         sets = zip(batch.column("set_a"), batch.column("set_b"))
@@ -281,12 +300,16 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sets are similar."""
-    wanted = staged(pairs.select("a").union(pairs.select("b")).toDF("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the distinct nodes of ``wanted``, made anew from one document each."""
+    wanted = staged(wanted.distinct().join(nodes.select("node", "rep"), "node"), "wanted")
     reps = bounded_broadcast(wanted.select(F.col("rep").alias("__rep")).distinct())
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(F.col("__rep")), "left_semi").select("text")
-    sets = staged(texts.mapInArrow(_sets, "node long, shingles binary").join(bounded_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return staged(texts.mapInArrow(_sets, "node long, shingles binary").join(bounded_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose ``sets(node, shingles)`` are similar."""
     joined = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -295,34 +318,126 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verified, "a long, b long")
 
 
+@task("ngram_join")
+def _differences(batches):
+    """Of (hub, node, apart, hub_set, set): sizes, the elements that only one of both has, and whether both are similar."""
+    for batch in batches:
+        sizes, hub_sizes, elements = [], [], []
+        for h, x in zip(batch.column("hub_set"), batch.column("set")):
+            h, x = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
+            sizes.append(len(x))
+            hub_sizes.append(len(h))
+            elements.append(np.setxor1d(h, x, assume_unique=True).view(np.int64))
+        n, hub_n, d = (np.array(v, np.int32) for v in (sizes, hub_sizes, list(map(len, elements))))
+        offsets = np.concatenate([[0], np.cumsum(d)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(elements) if elements else np.zeros(0, np.int64)))
+        columns = [*(batch.column(c) for c in ("hub", "node", "apart")), pa.array(n), pa.array(hub_n), pa.array(d), pa.array(9 * d <= n + hub_n), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["hub", "node", "apart", "n", "hub_n", "d", "linked", "elements"])
+
+
+def delta_entries(family: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of hubs with their members, and entries of smaller groups for the members that are not similar to them.
+
+    ``family`` has distinct rows (hub, node, apart): apart, if they are in
+    different components.  Let ``d(x)`` be the number of elements in which x
+    differs from its hub h, ``x*`` the set of these.  Similar sets differ in
+    ``H(x, y) = (|x| + |y|) / 9`` elements at most, and x and y differ in
+    ``d(x) + d(y) - 2 |x* & y*|``, so they must share
+    ``(d(x) + d(y) - H(x, y)) / 2`` of x* and y*.  As an x that is apart has
+    ``9 d(x) > |x| + |h|``, and as ``d(y) >= ||y| - |h||``, this is
+
+    * for x at least ``(9 d(x) - |x| - |h|) / 18``, whatever y is,
+    * for y at least ``(9 d(y) - |y| + |h| + 1) / 18``, whatever x is,
+
+    and at least 1.  With the rarest elements first, the first element that they
+    share is among so many: ``d`` less that number, plus 1.  Those are the keys
+    under which x asks and y answers.
+    """
+    hubs = staged(sets.join(bounded_broadcast(family.select(F.col("hub").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set")), "hubs")
+    size = hubs.agg(F.sum(F.octet_length("hub_set"))).first()[0] or 0
+    hubs = F.broadcast(hubs) if size <= MAX_BROADCAST_BYTES else hubs
+    rows = family.join(sets.select("node", F.col("shingles").alias("set")), "node").join(hubs, "hub").select("hub", "node", "apart", "hub_set", "set")
+    rows = staged(rows.mapInArrow(_differences, "hub long, node long, apart boolean, n int, hub_n int, d int, linked boolean, elements array<long>"), "differences")
+    links = rows.filter("apart and linked").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    asks = F.col("apart") & ~F.col("linked")
+    of_x = F.when(asks, F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("hub_n")) / 18))).otherwise(0)
+    of_y = F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") + F.col("hub_n") + 1) / 18))
+    open_hubs = rows.filter(asks).select("hub").distinct()
+    each = rows.join(bounded_broadcast(open_hubs), "hub", "left_semi").select("hub", "node", "n", of_x.alias("of_x"), of_y.alias("of_y"), F.explode("elements").alias("element"))
+    often = staged(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c")), "often")
+    by_member = Window.partitionBy("hub", "node")
+    placed = (
+        each.join(bounded_broadcast(often.filter("c > 1")), ["hub", "element"], "left").fillna(1, ["c"])
+        .withColumn("place", F.row_number().over(by_member.orderBy("c", "element")))
+        .withColumn("central", F.avg(F.log2("c")).over(by_member))
+        .filter((F.col("c") > 1) & ((F.col("place") <= F.col("of_x")) | (F.col("place") <= F.col("of_y"))))
+    )
+    return links, placed.select(
+        F.xxhash64("hub", "element").alias("key"), "node", "n", F.lit(False).alias("foreign"), F.lit(False).alias("deleted"),
+        (F.col("place") <= F.col("of_x")).alias("probe"), (F.col("place") <= F.col("of_y")).alias("answers"), F.floor(F.col("central") * 1000).alias("central"),
+    )
+
+
+@task("ngram_join")
+def _united(batches):
+    """(node, comp) of the links (a, b), by union and find; comp is the smallest node of a component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(find, nodes)), pa.int64())], ["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): for each node of the links the smallest node it reaches; alternating large and small stars."""
+    """(node, comp): for each node of the links (a, b) the smallest node it reaches.
+
+    Up to MAX_LOCAL_LINKS links one task unites; more are brought down to stars
+    by alternating large and small stars.
+    """
+    if links.limit(MAX_LOCAL_LINKS + 1).count() <= MAX_LOCAL_LINKS:
+        return links.coalesce(1).mapInArrow(_united, "node long, comp long")
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        both = edges.select("u", "v", F.lit(1).alias("down")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("down")))
+        # a star's outer nodes have one edge, down to its centre, which has none
+        ends = both.groupBy("u").agg(F.min("v").alias("m"), F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"))
+        ends = staged(ends.select("u", F.least("u", "m").alias("m"), ((F.col("down") > 0) & (F.col("n") > 1)).alias("deep")), "ends")
+        if ends.filter("deep").isEmpty():
+            break
+        large = both.join(ends, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         edges = staged(small.filter("u > v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def _pairs(one: str, other: str):
-    """Do two entries of one key, of different nodes, make a candidate?  The larger set probes, or one that came from a smaller band."""
+def _pairs(one: str, other: str, first: bool):
+    """Do two entries of one key, of different nodes, make a candidate?  Of the first groups the larger set probes, or one that came from a smaller band."""
     x, y = (lambda c: F.col(f"{one}{c}")), (lambda c: F.col(f"{other}{c}"))
+    probing = (x("probe") & y("answers")) | (y("probe") & x("answers"))
+    if first:
+        probing = (x("foreign") | y("foreign")) | F.when(x("n") > y("n"), x("probe")).when(x("n") < y("n"), y("probe")).otherwise(x("probe") | y("probe"))
     sizes = (5 * F.least(x("n"), y("n"))) >= (4 * F.greatest(x("n"), y("n")))
-    probing = (x("foreign") | y("foreign")) | F.when(x("n") > y("n"), x("probe")).when(x("n") < y("n"), y("probe")).otherwise(x("probe") | y("probe"))
     return sizes & ~(x("deleted") & y("deleted")) & ~(x("foreign") & y("foreign")) & probing & (x("comp") != y("comp"))
 
 
+_MEMBER = ("node", "n", "deleted", "foreign", "probe", "answers", "comp")
+
+
 def _as(prefix: str) -> list:
-    return [F.col(c).alias(f"{prefix}{c}") for c in ("node", "n", "deleted", "foreign", "probe", "comp")]
+    return [F.col(c).alias(f"{prefix}{c}") for c in _MEMBER]
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -337,7 +452,8 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     path = fresh_path(spark, "shared-keys")
     entries = docs.mapInArrow(_entries, _ENTRY)
-    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "node", "tag")
+    dealt = F.when(F.col("tag") < 0, F.col("node")).otherwise(F.col("key"))  # the rows of documents with equal sets needn't meet
+    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt).sortWithinPartitions("key", "node", "tag")
     entries.mapInArrow(_shared_keys, f"{_ENTRY}, c long").write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
     found = spark.read.schema(f"{_ENTRY}, c long").parquet(path)
@@ -356,57 +472,92 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("place", F.dense_rank().over(by_node.orderBy("cost", "segment")))
         .withColumn("shared", F.size(F.collect_set(F.when(~F.col("foreign"), F.col("segment"))).over(by_node)))
         .withColumn("before", F.max(F.when(F.col("foreign"), F.col("place"))).over(by_node))
+        .withColumn("central", F.sum(F.when(~F.col("foreign") & ~F.col("deleted"), F.floor(F.log2("c") * 1000))).over(by_node))
     )
     # segments that nobody shares are probed for free; the cheapest others make up the rest
     rank = F.col("place") - F.when(F.col("before") < F.col("place"), 1).otherwise(0)
     missing = F.col("need") - (F.col("capacity") - F.col("units") * F.col("shared"))
-    entries = own.select("key", "node", "n", "foreign", "deleted", (F.col("foreign") | (rank <= F.ceil(missing / F.col("units")))).alias("probe"), F.col("node").alias("comp"))
-    probed = entries.groupBy("key").agg(F.bool_or("probe").alias("any")).filter("any").select("key")
-    entries = staged(entries.join(probed, "key", "left_semi"), "entries")
+    entries = own.select(
+        "key", "node", "n", "foreign", "deleted", (F.col("foreign") | (rank <= F.ceil(missing / F.col("units")))).alias("probe"), F.lit(True).alias("answers"),
+        F.coalesce(F.floor(F.col("central") * F.col("units") / F.col("capacity")), F.lit(0)).alias("central"),
+    )
 
+    comps: DataFrame | None = None
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    while True:
-        size = entries.count()
-        if size == 0:
-            break
-        per_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        per_key = per_comp.groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("most")).filter(F.col("all") > F.col("most.k"))
-        per_key = staged(per_key.select("key", "all", F.col("most.comp").alias("main"), (F.col("all") - F.col("most.k")).alias("others")), "groups")
-        work = per_key.agg(F.sum(F.col("others") * F.col("all"))).first()[0] or 0
-        if work == 0:
-            break
-        open_entries = entries.join(per_key.select("key", "main"), "key")
-        last = tested is not None and work <= max(500_000_000, 1000 * size) or work <= 100_000
-        if last:  # all pairs of different components whose sketches don't differ by too much
-            own_sketch = sketches.join(open_entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-            drawn = staged(open_entries.join(own_sketch, "node"), "open")
-            few = drawn.filter("comp != main").select("key", *_as("x_"), F.col("sketch").alias("x_sketch"))
-            bits = F.aggregate(F.zip_with("x_sketch", "y_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
-            alike = bits <= F.floor((F.col("x_n") + F.col("y_n")) / 9)
-            pairs = few.join(drawn.select("key", *_as("y_"), F.col("sketch").alias("y_sketch")), "key").filter(_pairs("x_", "y_") & alike)
-        else:  # all members against the smallest
-            hubs = entries.join(per_key.select("key"), "key", "left_semi").groupBy("key").agg(F.min(F.struct("node", "n", "deleted", "foreign", "probe", "comp")).alias("hub"))
-            hubs = staged(hubs.select("key", "hub.*").select("key", *_as("x_")), "hubs")
-            pairs = hubs.join(open_entries.select("key", *_as("y_")), "key").filter(_pairs("x_", "y_"))
+    sets: DataFrame | None = None
+
+    def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        new = staged(verify(pairs, nodes, docs), "links")
+        return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal tested
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.union(pairs)
+            linked(verify(pairs, sets))
+
+    def linked(new: DataFrame) -> None:
+        nonlocal links
+        new = staged(new, "links")
         links = new if links is None else links.union(new)
-        if last:
+
+    def several(entries: DataFrame, *more) -> DataFrame:
+        """Of the keys with several components, one of whose nodes asks: the key, ``more``, and how many may be compared with how many."""
+        found = entries.groupBy("key").agg(
+            F.bool_or("probe").alias("any"), F.min("comp").alias("one"), F.max("comp").alias("other"), F.least(F.count_if("probe"), F.count_if("answers")).alias("size"), *more
+        )
+        return found.filter("any and one < other").drop("any", "one", "other")
+
+    for level in range(LEVELS + 1):
+        first = level == 0
+        entries = staged(with_components(entries, comps), "entries")
+        hubs = several(entries, F.max(F.struct("central", *_MEMBER)).alias("hub"))
+        hubs = staged(hubs.select("key", "hub.*").select("key", *_as("x_")), "hubs")
+        if hubs.isEmpty():
+            break
+        if sets is None:
+            sets = sets_of(entries.join(hubs.select("key"), "key", "left_semi").select("node"), nodes, docs)
+        compared(candidates(hubs.join(entries.select("key", *_as("y_")), "key").filter(_pairs("x_", "y_", first))))
+        comps = staged(components(links), "components") if links is not None else None
+        rest = entries.drop("comp").join(hubs.select("key", F.col("x_node").alias("hub")), "key").filter("node != hub")
+        rest = staged(with_components(rest, comps), "rest")
+        sizes = staged(several(rest), "sizes")
+        if sizes.isEmpty():
+            break
+        # small groups: all pairs of different components whose sketches don't differ by too much
+        few = sizes.filter(F.col("size") <= SMALL) if level < LEVELS else sizes
+        few = rest.join(few.select("key"), "key", "left_semi")
+        drawn = staged(few.join(sketches.join(few.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "drawn")
+        ones, others = (drawn.select("key", *_as(p), F.col("sketch").alias(f"{p}sketch")) for p in ("x_", "y_"))
+        alike = (F.col("x_node") < F.col("y_node")) & (_differing("x_sketch", "y_sketch") <= F.floor((F.col("x_n") + F.col("y_n")) / 9))
+        compared(candidates(ones.join(others, "key").filter(_pairs("x_", "y_", first) & alike)))
+        # large groups: smaller ones of members that share differences from the hub
+        large = sizes.filter(F.col("size") > SMALL).select("key")
+        if level == LEVELS or large.isEmpty():
             break
-        tested = pairs if tested is None else tested.union(pairs)
-        found = staged(components(links), "components")
-        rest = open_entries.join(hubs.select("key", F.col("x_node").alias("hub")), "key").filter("node != hub").drop("hub", "main", "comp")
-        entries = staged(rest.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "entries")
+        family = rest.join(large, "key", "left_semi").select("hub", "node", "comp")
+        of_hubs = with_components(family.select(F.col("hub").alias("node")).distinct(), comps)
+        family = family.join(bounded_broadcast(of_hubs.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))), "hub")
+        family = staged(family.groupBy("hub", "node").agg(F.bool_or(F.col("comp") != F.col("hub_comp")).alias("apart")), "family")
+        new, entries = delta_entries(family, sets)
+        linked(new)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
         return members.withColumn("comp", F.col("node")), links
-    comps = staged(components(links), "components")
-    labelled = members.join(comps, "node", "left").select("doc_id", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    return labelled, links
+    return with_components(members, staged(components(links), "components")).select("doc_id", "node", "n", "comp"), links
+
+
+def _differing(one: str, other: str) -> Column:
+    """The number of bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(F.col(one), F.lit(k)).bitwiseXOR(F.get(F.col(other), F.lit(k)))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def with_components(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Adds the component of each node; a node without links is its own."""
+    if comps is None:
+        return nodes.withColumn("comp", F.col("node"))
+    return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -422,7 +573,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     labelled, _ = join(docs)
     full = labelled.filter("n > 0")
-    names = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    names = staged(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")  # written, so that the join can split a large component
     return (
         full.join(names, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         .union(labelled.filter("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
