@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.storage import staged
+from ballast.storage import bounded_broadcast, staged
 
 
 def nodes(points: DataFrame, voxel: float) -> DataFrame:
@@ -89,34 +89,63 @@ def centerline(points: DataFrame, voxel: float) -> DataFrame:
     return placed.groupBy("scene_id").applyInPandas(_curve(voxel), "scene_id long, vtx int, cx double, cy double, s double, fit_kind string")
 
 
-def as_arrays(line: DataFrame) -> DataFrame:
-    """One row per scene: ``line``, its vertices in order; a scene's centerline is small, its points are not."""
-    vertex = F.struct("vtx", "cx", "cy", "s")
-    return line.groupBy("scene_id").agg(F.array_sort(F.collect_list(vertex)).alias("line"))
+#: Sides of the cells, in metres, for which those parts of a line are found that can be the nearest.
+CELLS = (64.0, 2.0)
 
 
-def nearest_vertex(points: DataFrame, line: DataFrame) -> DataFrame:
-    """Adds ``vtx`` and ``point_s`` of the nearest centerline vertex (ties to the lower); points of scenes without a centerline go.
+def _near_cells(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """Joins ``points(x, y)`` with ``line``: of the array of their scene in ``lines(scene_id, line)`` the elements whose (px, py) can be the nearest.
 
-    The vertices come as one array per scene, so the points are neither multiplied nor shuffled.
+    For all points of a cell these are the elements no further from its middle
+    than the nearest one and the cell's diagonal.  Coarse cells look at the whole
+    line, fine ones at what is left for their coarse cell, points at the few
+    left for their fine one; points are joined by scene and cell.
     """
-    distance = lambda v: (F.col("x") - v["cx"]) * (F.col("x") - v["cx"]) + (F.col("y") - v["cy"]) * (F.col("y") - v["cy"])
-    best = F.array_min(F.transform("line", lambda v: F.struct(distance(v).alias("d2"), v["vtx"].alias("vtx"), v["s"].alias("s"))))
-    return points.join(as_arrays(line), "scene_id").withColumn("__best", best).withColumn("vtx", F.col("__best.vtx")).withColumn("point_s", F.col("__best.s")).drop("__best", "line")
+    key = lambda c, side: F.floor(F.col(c) / side)
+    cells = points.select("scene_id", key("x", CELLS[-1]).alias("__kx"), key("y", CELLS[-1]).alias("__ky")).distinct()
+    cells = cells.withColumn("__gx", F.floor((F.col("__kx") + 0.5) * CELLS[-1] / CELLS[0])).withColumn("__gy", F.floor((F.col("__ky") + 0.5) * CELLS[-1] / CELLS[0]))
+
+    def narrowed(side: float, kx: str, ky: str):
+        mx, my = (F.col(kx) + 0.5) * side, (F.col(ky) + 0.5) * side
+        far = lambda v: F.sqrt((v["px"] - mx) * (v["px"] - mx) + (v["py"] - my) * (v["py"] - my))
+        return F.filter("line", lambda v: far(v) <= F.col("__least") + side * 2**0.5 * (1 + 1e-9)), F.array_min(F.transform("line", far))
+
+    coarse = cells.select("scene_id", "__gx", "__gy").distinct().join(lines, "scene_id")
+    keep, least = narrowed(CELLS[0], "__gx", "__gy")
+    coarse = coarse.withColumn("__least", least).select("scene_id", "__gx", "__gy", keep.alias("line"))
+    keep, least = narrowed(CELLS[-1], "__kx", "__ky")
+    fine = cells.join(coarse, ["scene_id", "__gx", "__gy"]).withColumn("__least", least).select("scene_id", "__kx", "__ky", keep.alias("line"))
+    fine = bounded_broadcast(staged(fine, "near-cells"))
+    placed = points.withColumn("__kx", key("x", CELLS[-1])).withColumn("__ky", key("y", CELLS[-1]))
+    return placed.join(fine, ["scene_id", "__kx", "__ky"]).drop("__kx", "__ky")
+
+
+def nearest_vertex(points: DataFrame, line: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Adds ``vtx`` and ``point_s`` of the nearest centerline vertex (ties to the lower), and the line's columns ``more``; points of scenes without a centerline go."""
+    more = more or []
+    vertex = F.struct("vtx", "s", F.col("cx").alias("px"), F.col("cy").alias("py"), *more)
+    lines = line.groupBy("scene_id").agg(F.array_sort(F.collect_list(vertex)).alias("line"))
+    distance = lambda v: (F.col("x") - v["px"]) * (F.col("x") - v["px"]) + (F.col("y") - v["py"]) * (F.col("y") - v["py"])
+    best = F.array_min(F.transform("line", lambda v: F.struct(distance(v).alias("d2"), v["vtx"].alias("vtx"), v["s"].alias("s"), *(v[c].alias(c) for c in more))))
+    found = _near_cells(points, lines).withColumn("__best", best)
+    return found.select(*points.columns, F.col("__best.vtx").alias("vtx"), F.col("__best.s").alias("point_s"), *(F.col(f"__best.{c}").alias(c) for c in more))
 
 
 def project(points: DataFrame, line: DataFrame) -> DataFrame:
     """Adds ``s`` and ``lateral`` on the segment whose middle is nearest (ties to the lower segment); the place on it is clipped to its ends."""
-    n = F.size("line")
-    starts, ends = F.slice("line", 1, n - 1), F.slice("line", 2, n - 1)
-
-    def middle(a: Column, b: Column) -> Column:
-        mx, my = (a["cx"] + b["cx"]) * 0.5, (a["cy"] + b["cy"]) * 0.5
-        d2 = (F.col("x") - mx) * (F.col("x") - mx) + (F.col("y") - my) * (F.col("y") - my)
-        return F.struct(d2.alias("d2"), a["vtx"].alias("seg"), a["cx"].alias("ax"), a["cy"].alias("ay"), (b["cx"] - a["cx"]).alias("vx"), (b["cy"] - a["cy"]).alias("vy"), a["s"].alias("s0"))
-
-    best = F.array_min(F.zip_with(starts, ends, middle))
-    near = points.join(as_arrays(line).filter(F.size("line") >= 2), "scene_id").withColumn("__b", best).drop("line")
+    order = Window.partitionBy("scene_id").orderBy("vtx")
+    ends = line.withColumn("bx", F.lead("cx").over(order)).withColumn("by", F.lead("cy").over(order)).filter("bx is not null")
+    segment = F.struct(
+        F.col("vtx").alias("seg"), F.col("cx").alias("ax"), F.col("cy").alias("ay"), (F.col("bx") - F.col("cx")).alias("vx"), (F.col("by") - F.col("cy")).alias("vy"),
+        F.col("s").alias("s0"), ((F.col("cx") + F.col("bx")) * 0.5).alias("px"), ((F.col("cy") + F.col("by")) * 0.5).alias("py"),
+    )
+    lines = ends.groupBy("scene_id").agg(F.array_sort(F.collect_list(segment)).alias("line"))
+
+    def middle(v: Column) -> Column:
+        d2 = (F.col("x") - v["px"]) * (F.col("x") - v["px"]) + (F.col("y") - v["py"]) * (F.col("y") - v["py"])
+        return F.struct(d2.alias("d2"), *(v[c].alias(c) for c in ("seg", "ax", "ay", "vx", "vy", "s0")))
+
+    near = _near_cells(points, lines).withColumn("__b", F.array_min(F.transform("line", middle))).drop("line")
     vx, vy, ax, ay = (F.col(f"__b.{c}") for c in ("vx", "vy", "ax", "ay"))
     raw = vx * vx + vy * vy
     square = F.when(raw < 1e-12, 1.0).otherwise(raw)

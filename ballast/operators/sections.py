@@ -62,28 +62,38 @@ def cuts(line: DataFrame, shortest: float, longest: float, step: float, most: fl
 
 
 def assign(points: DataFrame, line: DataFrame, sections: DataFrame) -> DataFrame:
-    """Adds the section with ``s0 <= point_s < s1`` and its frame; points at the last vertex are in none."""
-    row = F.struct("s0", "section_id", "s1", "p0x", "p0y", "fx", "fy")
-    by_scene = sections.groupBy("scene_id").agg(F.array_sort(F.collect_list(row)).alias("__cuts"))
-    placed = nearest_vertex(points, line).join(by_scene, "scene_id")
-    own = F.filter("__cuts", lambda c: (c["s0"] <= F.col("point_s")) & (F.col("point_s") < c["s1"]))
-    return placed.withColumn("__own", F.get(own, F.lit(0))).filter("__own is not null").select("*", "__own.section_id", "__own.s0", "__own.s1", "__own.p0x", "__own.p0y", "__own.fx", "__own.fy").drop("__own", "__cuts")
+    """Adds the section with ``s0 <= point_s < s1`` and its frame; points at the last vertex are in none.
+
+    A point's place is that of its nearest vertex, so vertices are put into
+    sections, each by the last section that begins before it.
+    """
+    row = ("section_id", "s0", "s1", "p0x", "p0y", "fx", "fy")
+    vertices = line.select("scene_id", F.col("s").alias("at"), F.lit(1).alias("kind"), F.struct("vtx", "cx", "cy", "s").alias("vertex"), F.lit(None).alias("own"))
+    starts = sections.select("scene_id", F.col("s0").alias("at"), F.lit(0).alias("kind"), F.lit(None).alias("vertex"), F.struct(*row).alias("own"))
+    so_far = Window.partitionBy("scene_id").orderBy("at", "kind", "own.section_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = starts.unionByName(vertices).withColumn("own", F.last("own", ignorenulls=True).over(so_far)).filter("vertex is not null")
+    held = held.select("scene_id", "vertex.*", F.when(F.col("vertex.s") < F.col("own.s1"), F.col("own")).alias("__own"))
+    placed = nearest_vertex(points, held, ["__own"]).filter("__own is not null")
+    return placed.select("*", *(f"__own.{c}" for c in row)).drop("__own")
 
 
-def rotate(assigned: DataFrame, centre_x: bool = False, width: float | None = None) -> DataFrame:
+def rotate(assigned: DataFrame, centre_x: bool = False, margin: float = 0) -> DataFrame:
     """Adds ``rx`` (to the right of the section), ``ry`` (along it, from its first point) and, for ditches, centres rx between its extremes.
 
-    With ``width`` (the sections' width and twice a margin) points further than
-    half of it from the middle go.
+    With a margin other than 0, points go that lie further from the middle than
+    half of the section's width and the margin: a negative one trims the sections.
     """
     dx, dy = F.col("x") - F.col("p0x"), F.col("y") - F.col("p0y")
     section = Window.partitionBy("scene_id", "section_id")
     out = assigned.withColumn("rx", dx * F.col("fy") - dy * F.col("fx")).withColumn("__a", dx * F.col("fx") + dy * F.col("fy"))
     out = out.withColumn("ry", F.col("__a") - F.min("__a").over(section)).drop("__a")
-    middle = (F.min("rx").over(section) + F.max("rx").over(section)) * 0.5
-    if width is not None:
-        out = out.withColumn("__m", middle).filter(F.abs(F.col("rx") - F.col("__m")) <= width / 2).drop("__m")
-    return out.withColumn("rx", F.col("rx") - middle) if centre_x else out
+    if not (centre_x or margin):
+        return out
+    out = out.withColumn("__low", F.min("rx").over(section)).withColumn("__high", F.max("rx").over(section))
+    middle = (F.col("__low") + F.col("__high")) * 0.5
+    if margin:
+        out = out.filter(F.abs(F.col("rx") - middle) <= (F.col("__high") - F.col("__low") + 2 * margin) * 0.5)
+    return (out.withColumn("rx", F.col("rx") - middle) if centre_x else out).drop("__low", "__high")
 
 
 def corridor(rotated: DataFrame, is_seed: Column, is_candidate: Column, radius: float) -> DataFrame:

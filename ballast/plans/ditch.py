@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ballast.config import DitchConfig
 from ballast.operators import centerline, profile, sections, split
 from ballast.operators.profile import SECTION
-from ballast.storage import staged
+from ballast.storage import bounded_broadcast, staged
 
 
 def two_parts(bins: DataFrame, most_gap: int) -> DataFrame:
@@ -41,6 +41,7 @@ class DitchPlan:
     def normalised(self) -> DataFrame:
         c = self.c
         origin = self.points.groupBy("scene_id").agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"), F.min("z").alias("z0"))
+        origin = bounded_broadcast(staged(origin, "ditch-origin"))
         classes = self.points.filter(F.col("label").isin(c.embankment_label, c.rail_label, c.ground_label)).join(origin, "scene_id")
         moved = [(F.col(a) - F.col(f"{a}0")).alias(a) for a in "xyz"]
         return staged(classes.select("scene_id", "point_id", *moved, F.col("label").cast("int").alias("label")), "ditch-points")
@@ -54,18 +55,24 @@ class DitchPlan:
         c = self.c
         return staged(sections.cuts(self.line, c.length_min, c.length_max, c.curve_resolution, c.max_curve_ratio), "ditch-cuts")
 
+    @cached_property
+    def rotated(self) -> DataFrame:
+        return staged(sections.rotate(sections.assign(self.normalised, self.line, self.cuts), centre_x=True, margin=self.c.width_margin), "ditch-rotated")
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Ground points of a section nearer to its embankment than the limit."""
         c = self.c
-        rotated = staged(sections.rotate(sections.assign(self.normalised, self.line, self.cuts), centre_x=True), "ditch-rotated")
-        near = sections.corridor(rotated, F.col("label") == c.embankment_label, F.col("label") != c.rail_label, c.distance_limit)
+        near = sections.corridor(self.rotated, F.col("label") == c.embankment_label, F.col("label") != c.rail_label, c.distance_limit)
         return staged(near.filter(F.col("label") != c.embankment_label), "ditch-candidates")
 
+    @cached_property
+    def bins(self) -> DataFrame:
+        return profile.xz_profile(self.candidates, self.c.graph_x_bin, F.lit(False)).drop("rail")
+
     @cached_property
     def parts(self) -> DataFrame:
-        bins = profile.xz_profile(self.candidates, self.c.graph_x_bin, F.lit(False)).drop("rail")
-        return two_parts(bins, self.c.graph_max_gap_bins)
+        return two_parts(self.bins, self.c.graph_max_gap_bins)
 
     @cached_property
     def split(self) -> DataFrame:

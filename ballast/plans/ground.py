@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.config import GroundConfig
 from ballast.operators import centerline, profile, proximity, sections, smooth, split, tracks
-from ballast.storage import staged
+from ballast.storage import bounded_broadcast, staged
 
 
 class GroundPlan:
@@ -42,6 +42,7 @@ class GroundPlan:
         marked = self.classes.join(self.rail_ids.withColumn("__r", F.lit(True)), ["scene_id", "point_id"], "left")
         marked = marked.withColumn("is_rail", F.coalesce("__r", F.lit(False))).drop("__r")
         origin = marked.groupBy("scene_id").agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"), F.min("z").alias("z0"), F.bool_or("is_rail").alias("any")).filter("any").drop("any")
+        origin = bounded_broadcast(staged(origin, "origin"))  # a row for each scene: its points needn't meet
         out = marked.join(origin, "scene_id").select(
             "scene_id", "point_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), (F.col("z") - F.col("z0")).alias("z"),
             F.when(F.col("is_rail"), self.c.tmp_label).otherwise(self.c.ground_label).alias("label"), "is_rail", F.col("label").alias("given"),
@@ -63,7 +64,7 @@ class GroundPlan:
 
     @cached_property
     def rotated(self) -> DataFrame:
-        return staged(sections.rotate(self.assigned), "rotated")
+        return staged(sections.rotate(self.assigned, margin=self.c.width_margin), "rotated")
 
     @cached_property
     def corridor(self) -> DataFrame:
@@ -117,7 +118,7 @@ class GroundPlan:
         """scene_id, point_id, label of every point: given rail points on the embankment are rail again, elsewhere ground; other classes and scenes without a centerline stay."""
         c = self.c
         final = F.when(F.col("given") != c.rail_label, F.col("label")).when(F.col("label") == c.embankment_label, c.rail_label).otherwise(c.ground_label)
-        usable = self.line.select("scene_id").distinct()
+        usable = bounded_broadcast(self.line.select("scene_id").distinct())
         new = self.smoothed.join(usable, "scene_id", "left_semi").select("scene_id", "point_id", final.alias("new_label"))
         joined = self.points.join(new, ["scene_id", "point_id"], "left")
         return joined.select("scene_id", "point_id", F.coalesce("new_label", "label").cast("smallint").alias("label"))

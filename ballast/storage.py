@@ -8,16 +8,25 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a broadcast table; beyond it the join shuffles.
+MAX_BROADCAST_ROWS = 20_000
 
 _local_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where the session has none."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where the session has none, in local mode a temporary one; on a cluster that is an error.
+    """
     global _local_dir
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="ballast-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
@@ -29,3 +38,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/ballast/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it has no more than MAX_BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
