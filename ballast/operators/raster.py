@@ -66,25 +66,32 @@ def large_components(mask: np.ndarray, least: int) -> np.ndarray:
     return mask & (np.bincount(number.ravel())[number] >= least)
 
 
-def nearest(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each cell the squared distance (in cells) to the nearest set cell, and its row and column."""
+def nearest(mask: np.ndarray, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell the squared distance (in cells) to the nearest set cell, and its row and column (ties to the lower column).
+
+    Within each column first, then from column to column until none further off
+    can be nearer.  With a limit, cells further than it may get a greater
+    distance than theirs, never a smaller one.
+    """
     ny, nx = mask.shape
-    rows = np.where(mask, np.arange(ny)[:, None], -1)
-    above = np.maximum.accumulate(rows, axis=0)
-    below = np.where(mask, np.arange(ny)[:, None], 4 * ny + 4 * nx)
-    below = np.minimum.accumulate(below[::-1], axis=0)[::-1]
-    far = 4 * ny + 4 * nx
-    up = np.where(above >= 0, np.arange(ny)[:, None] - above, far)
-    down = np.where(below < far, below - np.arange(ny)[:, None], far)
-    own = np.where(up <= down, above, below)  # the nearest set row of each column
-    gap = np.minimum(up, down).astype(np.int64)
-    d2, iy, ix = (np.zeros(mask.shape, np.int64) for _ in range(3))
-    across = (np.arange(nx)[:, None] - np.arange(nx)[None, :]) ** 2
-    for y in range(ny):
-        total = across + gap[y][None, :] ** 2
-        ix[y] = total.argmin(axis=1)
-        d2[y] = total[np.arange(nx), ix[y]]
-        iy[y] = own[y, ix[y]]
+    rows, far = np.arange(ny, dtype=np.int64)[:, None], 4 * ny + 4 * nx
+    above = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, 2 * far)[::-1], axis=0)[::-1]
+    up, down = rows - above, below - rows
+    own, gap = np.where(up <= down, above, below), np.minimum(np.minimum(up, down), far) ** 2
+    d2, iy, ix = gap.copy(), own.copy(), np.broadcast_to(np.arange(nx), mask.shape).copy()
+    for step in range(1, nx):
+        if step * step > d2.max() or (limit is not None and step > limit):
+            break
+        for from_left in (True, False):
+            here, there = (slice(step, None), slice(None, -step)) if from_left else (slice(None, -step), slice(step, None))
+            total = gap[:, there] + step * step
+            nearer = (total < d2[:, here]) | ((total == d2[:, here]) & from_left)
+            d2[:, here] = np.where(nearer, total, d2[:, here])
+            iy[:, here] = np.where(nearer, own[:, there], iy[:, here])
+            ix[:, here] = np.where(nearer, np.arange(nx)[there], ix[:, here])
+    if limit is not None:
+        iy, ix = np.where(d2 <= limit * limit, iy, 0), np.where(d2 <= limit * limit, ix, 0)
     return d2, iy, ix
 
 
@@ -124,7 +131,7 @@ def embankment(xyz: np.ndarray, seeds: np.ndarray, c: EmbankmentConfig) -> np.nd
     z = gaussian(z[ny, nx], 3.0)
     tracks = np.zeros(shape, bool)
     tracks[iy[seeds], ix[seeds]] = True
-    d2, ty, tx = nearest(tracks)
+    d2, ty, tx = nearest(tracks, int(np.ceil(c.max_dist_m / c.grid_cell_size)) + 1)
     distance, track_z, steep = np.sqrt(d2) * c.grid_cell_size, z[ty, tx], slope(z, c.grid_cell_size)
     flank = (
         (steep >= c.min_slope) & (steep <= c.max_slope) & (z >= track_z - c.max_embankment_height) & (z <= track_z + c.max_elev_diff)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ballast.config import EmbankmentConfig
 from ballast.operators import proximity, raster, tracks, voxel
-from ballast.storage import staged
+from ballast.storage import bounded_broadcast, staged
 
 #: Scenes of up to so many voxels are one tile; larger ones are cut into overlapping tiles.
 TILE_POINTS = 2_000_000
@@ -22,7 +22,7 @@ def grown(points: DataFrame, c: EmbankmentConfig) -> DataFrame:
     any tile finds it.  The overlap is wider than the mask can grow.  Tiles of
     few points are searched too: what is left out here would vote as not found.
     """
-    sizes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = bounded_broadcast(staged(points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")), "scene-sizes"))
     sized = points.join(sizes, "scene_id")
     whole = sized.filter(F.col("n") <= TILE_POINTS).withColumn("ty", F.lit(0).cast("long")).withColumn("tx", F.lit(0).cast("long"))
     large = sized.filter(F.col("n") > TILE_POINTS)
@@ -79,6 +79,7 @@ def segment_embankment(points: DataFrame, track_table: DataFrame, config: Embank
     rails = proximity.within(classes, dense, c.rail_radius, ["scene_id"]).select("scene_id", "point_id").withColumn("__r", F.lit(True))
     marked = classes.join(rails, ["scene_id", "point_id"], "left").withColumn("is_rail", F.coalesce("__r", F.lit(False)))
     origin = marked.groupBy("scene_id").agg(*(F.avg(a).alias(f"{a}0") for a in "xyz"), F.count_distinct("is_rail").alias("kinds")).filter("kinds = 2")
+    origin = bounded_broadcast(staged(origin, "embankment-origin"))
     moved = [(F.col(a) - F.col(f"{a}0")).alias(a) for a in "xyz"]
     centred = staged(marked.join(origin, "scene_id").select("scene_id", "point_id", *moved, "is_rail", "label"), "embankment-points")
     kept = voxel.subsample(centred, c.voxel_size)
