@@ -1,3 +1,5 @@
+import numpy as np
+
 from ballast.config import EmbankmentConfig
 from ballast.plans import embankment
 
@@ -16,3 +18,19 @@ def test_sparse_tiles_find_what_the_whole_scene_finds(spark, monkeypatch):
     inner = {n for n, (x, _) in enumerate(at) if 3 <= x % 215 <= 11}
     assert tiled & inner == whole & inner
     assert tiled <= whole
+
+
+def test_vote_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    c = EmbankmentConfig()
+    known, asked = rng.uniform(0, 4, (150, 3)), rng.uniform(0, 4, (60, 3))
+    asked[0] = [30.0, 30.0, 30.0]  # so far that all weights are 0
+    found = rng.random(150) < 0.3
+    stored = spark.createDataFrame([(0, k, *map(float, p), bool(f)) for k, (p, f) in enumerate(zip(known, found))], "scene_id long, point_id long, x double, y double, z double, found boolean")
+    queries = spark.createDataFrame([(0, 1000 + k, *map(float, p)) for k, p in enumerate(asked)], "scene_id long, point_id long, x double, y double, z double")
+    got = {r["point_id"] - 1000: r["found"] for r in embankment.knn_vote(queries, stored, c).collect()}
+    for k, p in enumerate(asked):
+        d = np.sqrt(((known - p) ** 2).sum(axis=1))
+        near = np.argsort(d, kind="stable")[: c.knn_k]
+        weights = np.exp(-0.5 * (d[near] / c.knn_sigma) ** 2)
+        assert got[k] == (c.class_weight * weights[found[near]].sum() > weights[~found[near]].sum())

@@ -88,3 +88,93 @@ def test_nearest_against_brute_force():
     assert (d2 == brute).all()
     assert ((yy - iy) ** 2 + (xx - ix) ** 2 == brute).all()
     assert mask[iy, ix].all()
+
+
+def test_nearest_with_ties_and_a_limit():
+    rng = np.random.default_rng(2)
+    for shape, share in (((7, 9), 0.2), ((30, 40), 0.02), ((1, 50), 0.1), ((50, 1), 0.1)):
+        mask = rng.random(shape) < share
+        mask[shape[0] // 2, shape[1] // 2] = True
+        ys, xs = np.nonzero(mask)
+        y, x = np.mgrid[: shape[0], : shape[1]]
+        every = (y[..., None] - ys) ** 2 + (x[..., None] - xs) ** 2
+        least = every.min(axis=-1)
+        d2, iy, ix = raster.nearest(mask)
+        assert (d2 == least).all() and mask[iy, ix].all() and ((iy - y) ** 2 + (ix - x) ** 2 == least).all()
+        assert (ix == np.where(every == least[..., None], xs, 10**6).min(axis=-1)).all()
+        bounded, ly, _ = raster.nearest(mask, 3)
+        assert (bounded[least <= 9] == least[least <= 9]).all() and (bounded[least > 9] > 9).all() and (ly[least <= 9] == iy[least <= 9]).all()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_radius_join_against_brute_force(spark, strict):
+    rng = np.random.default_rng(3)
+    xy, targets = rng.integers(0, 4000, (800, 2)) / 100.0, rng.integers(0, 4000, (25, 2)) / 100.0
+    xy[:50] = targets[rng.integers(0, 25, 50)] + [3.0, 0.0]  # just at the radius
+    points = spark.createDataFrame([(k % 2, k, *map(float, p)) for k, p in enumerate(xy)], "scene_id long, point_id long, x double, y double")
+    rails = spark.createDataFrame([(k % 2, *map(float, t)) for k, t in enumerate(targets)], "scene_id long, rx double, ry double")
+    got = sorted(r["point_id"] for r in proximity.within(points, rails, 3.0, ["scene_id"], strict).collect())
+    wanted = []
+    for k, (x, y) in enumerate(xy):
+        d2 = [(x - a) * (x - a) + (y - b) * (y - b) for j, (a, b) in enumerate(targets) if j % 2 == k % 2]
+        if min(d2) < 9.0 or (not strict and min(d2) == 9.0):
+            wanted.append(k)
+    assert got == wanted
+
+
+def test_nearest_parts_of_a_bent_line(spark):
+    at = np.linspace(0, 3 * np.pi, 400)
+    line = np.column_stack([60 * np.cos(at / 3) * (1 + at / 10), 60 * np.sin(at / 3) * (1 + at / 10)])
+    s = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))])
+    rng = np.random.default_rng(4)
+    xy = rng.uniform(-150, 150, (600, 2))
+    vertices = spark.createDataFrame([(0, k, float(x), float(y), float(d)) for k, ((x, y), d) in enumerate(zip(line, s))], "scene_id long, vtx int, cx double, cy double, s double")
+    points = spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(xy)] + [(1, 0, 0.0, 0.0)], "scene_id long, point_id long, x double, y double")
+    got = {r["point_id"]: r for r in centerline.nearest_vertex(points, vertices).collect()}
+    middles = (line[1:] + line[:-1]) / 2
+    projected = {r["point_id"]: r for r in centerline.project(points, vertices).collect()}
+    assert len(got) == len(projected) == 600
+    for k, p in enumerate(xy):
+        assert got[k]["vtx"] == ((line - p) ** 2).sum(axis=1).argmin() and got[k]["point_s"] == s[got[k]["vtx"]]
+        seg = ((middles - p) ** 2).sum(axis=1).argmin()
+        v = line[seg + 1] - line[seg]
+        t = min(1.0, max(0.0, (p - line[seg]) @ v / (v @ v)))
+        assert projected[k]["seg"] == seg and projected[k]["s"] == pytest.approx(s[seg] + t * np.hypot(*v))
+
+
+def test_sections_of_a_bent_line_against_a_plain_walk(spark):
+    at = np.linspace(-np.pi / 2, np.pi / 2, 150)[1:]
+    line = np.concatenate([np.column_stack([np.linspace(0, 15, 51), np.zeros(51)]), np.column_stack([15 + 6 * np.cos(at), 6 + 6 * np.sin(at)])])
+    s = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))])
+    vertices = spark.createDataFrame([(0, k, float(x), float(y), float(d)) for k, ((x, y), d) in enumerate(zip(line, s))], "scene_id long, vtx int, cx double, cy double, s double")
+    cuts = sections.cuts(vertices, 2.0, 10.0, 4.0, 1.01)
+
+    def place(d):
+        return np.array([np.interp(d, s, line[:, 0]), np.interp(d, s, line[:, 1])])
+
+    wanted, begin = [], 0.0
+    while begin < s[-1]:
+        end, a = min(begin + 10.0, s[-1]), begin
+        stop = end
+        while end - begin > 2.0 and a < end:  # in steps of 4 the first stretch that is longer than 1.01 of its chord
+            b = min(a + 4.0, end)
+            if (b - a) / np.hypot(*(place(b) - place(a))) > 1.01:
+                stop = min(begin + 2.0, s[-1]) if a <= begin + 2.0 else a
+                break
+            a = b
+        wanted.append((begin, stop))
+        begin = stop
+    got = [(r["s0"], r["s1"]) for r in cuts.orderBy("section_id").collect()]
+    assert len(got) > 5 and got == [(pytest.approx(a), pytest.approx(b)) for a, b in wanted]
+    points = spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(line * 1.01)], "scene_id long, point_id long, x double, y double")
+    for r in sections.assign(points, vertices, cuts).collect():
+        assert got[r["section_id"]][0] <= s[r["point_id"]] < got[r["section_id"]][1]
+    assert sections.assign(points, vertices, cuts).count() == 199  # the last vertex is in none
+
+
+def test_width_margin_trims_sections(spark):
+    rows = [(0, 0, k, float(k), 0.0, 0.0, 0.0, 0.0, 1.0) for k in range(11)]
+    given = spark.createDataFrame(rows, "scene_id long, section_id int, point_id long, x double, y double, p0x double, p0y double, fx double, fy double")
+    kept = lambda **more: sorted(r["point_id"] for r in sections.rotate(given, **more).collect())
+    assert kept() == kept(margin=1.0) == list(range(11))
+    assert kept(margin=-2.0) == kept(margin=-2.0, centre_x=True) == list(range(2, 9))
