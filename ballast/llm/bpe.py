@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import small_batches
+from ballast.llm.common import cache, small_batches, task
 
 #: Texts longer than this are split piece by piece, for bounded memory.
 LONG = 1 << 20
@@ -198,6 +198,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+cache("bpe", _encoders.clear)
 
 
 def encoder_for(held, pattern: str) -> Encoder:
@@ -209,6 +210,7 @@ def encoder_for(held, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+@task("bpe", keep=True)
 def _digests(batches, held, pattern):
     encoder = encoder_for(held, pattern)
     for batch in batches:
@@ -225,6 +227,7 @@ def _digests(batches, held, pattern):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+@task("bpe", keep=True)
 def _encoded(batches, held, pattern):
     encoder = encoder_for(held, pattern)
     for batch in batches:
@@ -232,6 +235,7 @@ def _encoded(batches, held, pattern):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
+@task("bpe", keep=True)
 def _decoded(batches, held, pattern):
     encoder = encoder_for(held, pattern)
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import small_batches
+from ballast.llm.common import cache, small_batches, task
 
 BITS = 18
 #: Beginnings of this length of longer words are features too; compounds and inflected words share them.
@@ -58,6 +58,7 @@ class _Buckets(dict):
 
 
 _bucket = _Buckets()
+cache("quality", _bucket.clear)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -142,6 +143,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_rows: int
     return Model(weights, x[w_end] + np.concatenate([[0], np.cumsum(np.exp(x[w_end + 1 :]))]))
 
 
+@task("quality")
 def _featurised(batches):
     for batch in batches:
         rows = [features(t) for t in batch.column("text").to_pylist()]
@@ -167,6 +169,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rows: int = 12
     return fit([rows[i] for i in order], got["grade"].to_numpy()[order], n_grades)
 
 
+@task("quality")
 def _graded(batches, held, with_text=False):
     model: Model = held.value
     for batch in batches:

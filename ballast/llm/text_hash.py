@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Text bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import small_batches
+from ballast.llm.common import small_batches, task
 from ballast.llm.bpe import Encoder, Vocabulary, _double, encoder_for
 
 #: How many characters before a place can influence how the text splits there, and how many after.
@@ -164,6 +164,7 @@ class TokenTree:
             low, high = low // 2, high // 2
 
 
+@task("bpe", keep=True)
 def _counted(batches, held, pattern):
     encoder = encoder_for(held, pattern)
     for batch in batches:
