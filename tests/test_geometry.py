@@ -166,7 +166,7 @@ def test_sections_of_a_bent_line_against_a_plain_walk(spark):
         begin = stop
     got = [(r["s0"], r["s1"]) for r in cuts.orderBy("section_id").collect()]
     assert len(got) > 5 and got == [(pytest.approx(a), pytest.approx(b)) for a, b in wanted]
-    points = spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(line * 1.01)], "scene_id long, point_id long, x double, y double")
+    points = spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(line)], "scene_id long, point_id long, x double, y double")
     for r in sections.assign(points, vertices, cuts).collect():
         assert got[r["section_id"]][0] <= s[r["point_id"]] < got[r["section_id"]][1]
     assert sections.assign(points, vertices, cuts).count() == 199  # the last vertex is in none
