@@ -3,15 +3,23 @@
 Method: every URL becomes a set of tokens.  Spark's FP-growth mines the token
 combinations of labelled URLs; rules ``tokens -> block`` are pruned by support,
 confidence and redundancy and matched to all URLs through an inverted index
-from token to rule.  Everything is DataFrame code.
+from each rule's rarest token to the rule.  Everything is DataFrame code.
+
+Tokens that occur in the very same labelled URLs are one item, which a URL holds
+that holds any of them; so a long template does not make a frequent itemset of
+each of its parts.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.llm.common import bounded_broadcast, staged
+
+#: A rule needs so many labelled URLs, however few there are.
+LEAST_ROWS = 10
 BLOCK = "label=block"
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -62,47 +70,62 @@ def token_set(url: str = "url") -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
-    """Rules ``tokens -> block`` from rows ``tokens array, block boolean``.
+def items_of(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item, n) of the tokens in at least ``least`` of the rows ``tokens, block``: the first by name of the tokens that occur in the very same rows, and their number.
 
-    Returns ``antecedent, confidence, support``.  A rule goes when a rule of a
-    part of its tokens has at least its confidence.  At most
-    ``mean tokens / min_support`` tokens are frequent, so the table is bounded
-    whatever the number of rows.  An empty input gives no rules.
+    Rows are told apart by their tokens and label.  A token is left out only if
+    it has too few rows, so there are no more than all rows' tokens by ``least``.
     """
-    items = labelled.filter(F.size("tokens") > 0).select(
-        F.when(F.col("block"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    )
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items).associationRules
-    rules = found.filter(F.col("consequent")[0] == BLOCK).select(
-        F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
+    each = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens", "block").cast("decimal(20,0)").alias("row"))
+    rows = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows")).filter(F.col("n") >= least)
+    return rows.select("token", F.min("token").over(Window.partitionBy("n", "rows")).alias("item"), "n")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Rules ``items -> block`` from rows ``tokens array, block boolean``, and the items of tokens.
+
+    Returns (antecedent, confidence, support, key), antecedent being items and
+    key its rarest, and (token, item).  A rule needs ``min_support`` of the rows
+    and LEAST_ROWS of them; it goes when a rule of a part of its items has at
+    least its confidence.  An empty input gives no rules.
+    """
+    labelled = staged(labelled.filter(F.size("tokens") > 0).withColumn("row", F.monotonically_increasing_id()), "labelled")
+    total = labelled.count()
+    least = max(LEAST_ROWS, -int(-min_support * total // 1))
+    items = staged(items_of(labelled, least), "items")
+    kept = bounded_broadcast(items.filter("token = item").select("token"))
+    rows = labelled.select("row", "block", F.explode("tokens").alias("token")).join(kept, "token").groupBy("row", "block").agg(F.collect_list("token").alias("items"))
+    rows = staged(rows.select(F.when(F.col("block"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "transactions")
+    left = max(1, rows.count())
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / left), minConfidence=min_confidence).fit(rows).associationRules
+    rules = found.filter(F.col("consequent")[0] == BLOCK).select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * left / max(1, total)).alias("support"))
+    rarest = (
+        rules.select("antecedent", F.explode("antecedent").alias("item")).join(bounded_broadcast(items.filter("token = item").select("item", "n")), "item")
+        .groupBy("antecedent").agg(F.min(F.struct("n", "item"))["item"].alias("key"))
     )
-    part = rules.select(F.explode("antecedent").alias("token"), F.col("antecedent").alias("whole"), F.col("confidence").alias("c"))
-    other = part.select("token", F.col("whole").alias("part"), F.col("c").alias("part_c"), F.size("whole").alias("part_n"))
+    rules = staged(rules.join(rarest, "antecedent"), "rules")
+    part = rules.select(F.col("key").alias("item"), F.col("antecedent").alias("part"), F.col("confidence").alias("part_c"))
     redundant = (
-        part.join(other, "token")
-        .filter((F.size("whole") > F.col("part_n")) & (F.col("part_c") >= F.col("c")))
-        .groupBy("whole", "part", "part_n")
-        .count()
-        .filter("count = part_n")
-        .select(F.col("whole").alias("antecedent"))
+        rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(part, "item")
+        .filter((F.size("antecedent") > F.size("part")) & (F.col("part_c") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
+        .select("antecedent").distinct()
     )
-    return rules.join(redundant, "antecedent", "left_anti")
+    return staged(rules.join(redundant, "antecedent", "left_anti"), "rules"), items.select("token", "item")
 
 
-def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``tokens`` that hold all tokens of some rule, by an inverted index from token to rule."""
-    numbered = rules.select("antecedent", F.xxhash64("antecedent").alias("rule_id"), F.size("antecedent").alias("need"))
-    index = numbered.select(F.explode("antecedent").alias("token"), "rule_id", "need")
-    return (
+def match_rules(token_sets: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """The distinct ``tokens`` that hold all items of some rule, by an inverted index from each rule's rarest item."""
+    index = bounded_broadcast(rules.select(F.col("key").alias("item"), "antecedent"))
+    of = bounded_broadcast(items.join(bounded_broadcast(rules.select(F.explode("antecedent").alias("item")).distinct()), "item", "left_semi"))
+    sets = (
         token_sets.select("tokens").distinct()
         .select("tokens", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .groupBy("tokens", "rule_id", "need")
-        .count()
-        .filter("count = need")
-        .select("tokens")
-        .distinct()
+        .join(of, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    )
+    return (
+        sets.select("tokens", "items", F.explode("items").alias("item")).join(index, "item")
+        .filter(F.size(F.array_except("antecedent", "items")) == 0)
+        .select("tokens").distinct()
     )
 
 
@@ -119,7 +142,8 @@ def judge(
     """
     urls = with_parts(pages.select("page_id", "url")).withColumn("tokens", token_set())
     known = urls.join(labels.select("page_id", "block").filter("block is not null"), "page_id").select("tokens", "block")
-    matched = match_rules(urls, mine_rules(known, min_support, min_confidence)).withColumn("mined", F.lit(True))
+    matched = staged(match_rules(urls, *mine_rules(known, min_support, min_confidence)).withColumn("mined", F.lit(True)), "matched")
+    matched = bounded_broadcast(matched)  # else joined as written, so that the join can split the rows of one URL
     name, verdict = fixed_rule(rules)
     return urls.join(matched, "tokens", "left").select(
         "page_id", "host", "path", name.alias("rule"),
