@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph for each shard.
 
-Vectors are dealt into shards of bounded size by hash.  A shard's graph is built
-in growing batches: greedy searches from the entry propose neighbours, and
-relaxed pruning keeps an edge only if no kept neighbour is closer to its target
-by the factor ``alpha``, so that edges point in different directions.  Every
-shard answers every query by beam search; answers are merged by exact score.
+Vectors are dealt into shards of bounded size by length and hash.  A shard's
+graph is built in growing batches: greedy searches from the entry propose
+neighbours, and relaxed pruning keeps an edge only if no kept neighbour is closer
+to its target by the factor ``alpha``, so that edges point in different
+directions.  Every shard answers every query by beam search; answers are merged
+by exact score, in double precision on the vectors as they were given.
 
 For inner products each vector gets one more component that makes all of a
 shard equally long; then the nearest by distance are those of largest product.
+The vectors of a shard are of lengths within a factor of two, so that none is
+lost beside a much longer one.  The beam is widened until the first queries of a
+shard find ``RECALL`` of what comparing them with all of the shard finds.
 """
 
 from __future__ import annotations
@@ -17,21 +21,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.llm.common import bounded_broadcast, small_batches, staged, task
+
 #: Vectors of a shard, at most about this many.
 SHARD_ROWS = 16_384
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
-#: Beam entries expanded at once, and queries searched at once.
-WIDE, BLOCK = 4, 512
+#: Beam entries expanded at once (of a wide beam a share of it), queries searched at once, and bytes that may take.
+WIDE, SHARE, BLOCK, BYTES = 4, 32, 512, 64 << 20
+#: Share of a shard's true nearest that its first queries, so many of them, must find.
+RECALL, PROBES = 0.95, 48
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """The rows in double precision, divided by one number so that the longest has length 1; of any finite size."""
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(initial=1e-300)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=1e-300))
 
 
 class Graph:
-    """A navigable graph over the rows of ``vectors`` (float32)."""
+    """A navigable graph over the rows of ``vectors``."""
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA):
         self.originals = vectors
-        norms = np.einsum("ij,ij->i", vectors.astype(np.float64), vectors)
-        extra = np.sqrt(np.maximum(norms.max() - norms, 0))
-        self.points = np.concatenate([vectors, extra[:, None].astype(np.float32)], axis=1)
+        scaled = unit(vectors)
+        extra = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0))
+        self.points = np.concatenate([scaled, extra[:, None]], axis=1).astype(np.float32)
         self.squares = np.einsum("ij,ij->i", self.points, self.points)
         self.degree, self.alpha = degree, alpha
         n = len(vectors)
@@ -48,6 +63,33 @@ class Graph:
             ids, distances = self.search(self.points[batch], beam)
             self._insert(batch, ids, distances)
             done += len(batch)
+        self._reach_all()
+
+    def _reached(self) -> np.ndarray:
+        """For each point: does any path lead to it from the entry?"""
+        found = np.zeros(len(self.points) + 1, bool)
+        found[self.entry] = True
+        front = np.array([self.entry])
+        while len(front):
+            near = np.unique(self.edges[front])
+            front = near[(near >= 0) & ~found[near]]
+            found[front] = True
+        return found[:-1]
+
+    def _reach_all(self) -> None:
+        """Pruning takes some points their last edge in; each gets one from the nearest points that are reached, in columns of their own."""
+        while len(lost := np.flatnonzero(~(reached := self._reached()))):
+            lost = lost[:BLOCK]
+            ids, _ = self.search(self.points[lost], 16)
+            more = np.full((len(self.edges), 4), -1, np.int32)
+            used = np.zeros(len(self.edges), np.int32)
+            for point, near in zip(lost.tolist(), ids.tolist()):
+                free = [p for p in near if p >= 0 and reached[p] and used[p] < 4][:4]
+                for p in free or [self.entry]:
+                    if used[p] < 4:
+                        more[p, used[p]] = point
+                        used[p] += 1
+            self.edges = np.concatenate([self.edges, more], axis=1)
 
     def _connect_all(self, ids: np.ndarray) -> None:
         if len(ids) > 1:
@@ -75,7 +117,7 @@ class Graph:
         seen[:, self.entry] = seen[:, -1] = True
         active = np.arange(n_queries)
         while len(active):
-            wide = min(WIDE, beam)
+            wide = min(beam, max(WIDE, beam // SHARE))
             best = np.argpartition(np.where(is_open[active], distances[active], np.inf), wide - 1, axis=1)[:, :wide]
             a = active[:, None]
             chosen = np.where(is_open[a, best], ids[a, best], -1)
@@ -142,32 +184,66 @@ class Graph:
             part = full[k : k + 256]
             self.edges[points[part]] = self._pruned(points[part], np.concatenate([self.edges[points[part]], more[part]], axis=1))
 
-    def nearest(self, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products in double precision of the k largest products that beam search finds; -1 fills up."""
-        padded = np.concatenate([queries, np.zeros((len(queries), 1), np.float32)], axis=1)
-        ids, _ = self.search(padded, min(max(beam, k), max(len(self.points), 1)))
-        scores = np.matmul(self.originals[ids].astype(np.float64), queries.astype(np.float64)[:, :, None])[:, :, 0]
-        scores[ids < 0] = -np.inf
+    def exact(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k largest products of all, ties to the smaller id; -1 fills up."""
+        scores = queries.astype(np.float64) @ self.originals.astype(np.float64).T
+        return self._best(np.broadcast_to(np.arange(len(self.originals)), scores.shape), scores, k)
+
+    @staticmethod
+    def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, -scores), axis=1)[:, :k]
-        r = np.arange(len(queries))[:, None]
+        r = np.arange(len(ids))[:, None]
         return ids[r, order], scores[r, order]
 
+    def beam_for(self, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> int:
+        """A beam that finds RECALL of the k nearest of these queries, at most as wide as there are points."""
+        n = len(self.points)
+        beam = max(beam, k)
+        best = self.exact(queries, min(k, n))[1][:, -1:]
+        while beam < n:
+            found = self.nearest(queries, k, beam)[1]
+            if (found >= best).sum() >= RECALL * len(queries) * min(k, n):  # by score, as equal scores are equally near
+                return beam
+            beam *= 2
+        return n
+
+    def nearest(self, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products in double precision of the k largest products that beam search finds.
 
+        A query that reaches fewer points than there are is compared with all.
+        """
+        wanted = min(k, len(self.points))
+        scale = np.abs(queries).max(axis=1, keepdims=True).astype(np.float64)
+        scaled = queries / np.where(scale > 0, scale, 1)
+        scaled /= np.maximum(np.sqrt(np.einsum("ij,ij->i", scaled, scaled)), 1e-300)[:, None]
+        padded = np.concatenate([scaled, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        beam = min(max(beam, k), len(self.points))
+        at_once = max(1, BYTES // (max(WIDE, beam // SHARE) * self.edges.shape[1] * self.points.shape[1] * 4))
+        ids = np.concatenate([self.search(padded[i : i + at_once], beam)[0] for i in range(0, len(padded), at_once)])
+        scores = np.matmul(self.originals[ids].astype(np.float64), queries.astype(np.float64)[:, :, None])[:, :, 0]
+        scores[ids < 0] = -np.inf
+        few = np.flatnonzero((ids >= 0).sum(axis=1) < wanted)
+        ids, scores = self._best(ids, scores, wanted)
+        if len(few):
+            ids[few], scores[few] = self.exact(queries[few], wanted)
+        return ids, scores
+
+
+@task("ann")
 def _answers(batches, k):
     """Of rows sorted by shard and kind (0: a vector, 1: a query) the k best vectors of the shard for each query."""
-    shard, graph, ids, vectors, queries, query_ids = None, None, [], [], [], []
-
-    def matrix(rows):
-        return np.ascontiguousarray(np.concatenate(rows).astype(np.float32))
+    shard, graph, ids, vectors, queries, query_ids, beam = None, None, [], [], [], [], 0
+    matrix = np.concatenate
 
     def answered():
-        nonlocal graph, queries, query_ids, vectors
+        nonlocal graph, queries, query_ids, vectors, beam
         if not queries or not ids:
             queries, query_ids = [], []
             return
         if graph is None:
             graph, vectors = Graph(matrix(vectors)), []
-        found, scores = graph.nearest(matrix(queries), k)
+            beam = graph.beam_for(matrix(queries)[:PROBES], k)
+        found, scores = graph.nearest(matrix(queries), k, beam)
         asked = np.repeat(np.concatenate(query_ids), found.shape[1])
         found, scores = found.reshape(-1), scores.reshape(-1)
         real = found >= 0
@@ -214,37 +290,50 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     precision, largest first, ties to the smaller vec_id; the query's own row is
     left out.  With fewer candidates there are fewer rows.  Rows whose vector is
     not usable or whose vec_id is null take no part; repeated rows count once;
-    vectors are compared with those of the same length; further columns are
+    vectors are compared with those of as many components; further columns are
     ignored.  Equal vectors are one point of the graph, which stands for its
-    k + 1 smallest vec_ids.
+    k + 1 smallest vec_ids.  A vec_id with several vectors is a candidate with each.
     """
-    rows = vectors.select("vec_id", "embedding", is_query.alias("asks")).filter(F.col("vec_id").isNotNull() & usable()).withColumn("embedding", F.col("embedding").cast("array<float>"))
-    points = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
-    smallest = Window.partitionBy("embedding").orderBy("vec_id")
-    members = rows.select("vec_id", "embedding").withColumn("nth", F.dense_rank().over(smallest)).filter(F.col("nth") <= k + 1).distinct()
-    members = members.join(points, "embedding").select("rep", "vec_id")
-    asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(points, "embedding")
-
-    n_points = points.select(F.size("embedding").alias("size")).groupBy("size").count()
-    shards_of = [(r["size"], -(-r["count"] // shard_rows)) for r in n_points.collect()]  # one row for each length of vectors
-    spark = vectors.sparkSession
-    counts = spark.createDataFrame(shards_of, "size int, shards long")
-    sized = points.withColumn("size", F.size("embedding")).join(F.broadcast(counts), "size")
-    name = lambda number: F.concat_ws(":", "size", number.cast("string"))
-    stored = sized.select(name(F.pmod(F.xxhash64("rep"), F.col("shards"))).alias("shard"), F.lit(0).alias("kind"), F.col("rep").alias("vec_id"), "embedding")
-    distinct_queries = asked.select("rep", "embedding").distinct().withColumn("size", F.size("embedding")).join(F.broadcast(counts), "size")
-    sent = distinct_queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("number"), "rep", "embedding", "size").select(
-        name(F.col("number")).alias("shard"), F.lit(1).alias("kind"), F.col("rep").alias("vec_id"), "embedding"
+    small_batches(vectors.sparkSession)
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    embedding = F.col("embedding").cast(kind if kind in ("array<float>", "array<double>") else "array<double>")
+    rows = vectors.select("vec_id", embedding.alias("embedding"), is_query.alias("asks")).filter(F.col("vec_id").isNotNull() & usable())
+    rows = rows.withColumns({"hash": F.xxhash64("embedding"), "hash2": F.xxhash64(F.lit(1), "embedding")})
+    same = ["hash", "hash2"]  # 128 bits stand for a vector
+    smallest = Window.partitionBy(*same).orderBy("vec_id")
+    members = rows.select(*same, "vec_id").withColumn("nth", F.dense_rank().over(smallest)).filter(F.col("nth") <= k + 1).distinct()
+    members = staged(members.select(*same, "vec_id", F.min("vec_id").over(Window.partitionBy(*same)).alias("rep")), "members")
+    reps = members.filter("vec_id = rep").select(*same, "rep")
+    length = F.aggregate(F.transform("embedding", lambda x: F.abs(x.cast("double"))), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / F.col("largest"), 2))
+    points = (
+        rows.select(*same, F.col("vec_id").alias("rep"), "embedding").join(reps, [*same, "rep"], "left_semi").dropDuplicates([*same, "rep"])
+        .withColumn("largest", length)
+        .withColumn("class", F.concat_ws(":", F.size("embedding").cast("string"), F.floor(F.log2("largest") + F.log2(squares) / 2).cast("string")))
+        .select(*same, "rep", "embedding", "class")
+    )  # vectors as long as each other but for a factor of two, with equally many components
+    points = staged(points, "points")
+    # a row for each class: for every number of components no more than there are powers of two in a double
+    counts = staged(points.groupBy("class").agg(F.count(F.lit(1)).alias("n")).select("class", F.ceil(F.col("n") / shard_rows).alias("shards")), "classes")
+    n_shards = counts.agg(F.sum("shards")).first()[0] or 0
+    counts = bounded_broadcast(counts)
+    asked = rows.filter("asks").select(F.col("vec_id").alias("query_id"), *same).distinct().join(reps, same).select("query_id", "rep")
+    asked = staged(asked, "asked")
+    name = lambda number: F.concat_ws(":", "class", number.cast("string"))
+    stored = points.join(counts, "class").select(name(F.pmod(F.xxhash64("rep"), F.col("shards"))).alias("shard"), F.lit(0).alias("kind"), F.col("rep").alias("vec_id"), "embedding")
+    asking = points.join(asked.select("rep").distinct(), "rep", "left_semi").withColumn("size", F.substring_index("class", ":", 1))
+    sent = asking.select("rep", "embedding", "size").join(counts.withColumn("size", F.substring_index("class", ":", 1)), "size").select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("number"), "class", "rep", "embedding"
     )
-    n_shards = max(1, sum(n for _, n in shards_of))
-    dealt = stored.union(sent).repartition(n_shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    sent = sent.select(name(F.col("number")).alias("shard"), F.lit(1).alias("kind"), F.col("rep").alias("vec_id"), "embedding")
+    dealt = stored.union(sent).repartition(max(1, min(n_shards, 20_000)), "shard").sortWithinPartitions("shard", "kind", "vec_id")
     found = dealt.mapInArrow(lambda batches: _answers(batches, k + 1), "qrep long, rep long, score double")
 
     best = lambda by, *order: Window.partitionBy(by).orderBy(F.desc("score"), *order)
     near = found.withColumn("nth", F.row_number().over(best("qrep", "rep"))).filter(F.col("nth") <= k + 1).drop("nth")
-    near = near.join(members, "rep").withColumn("nth", F.row_number().over(best("qrep", "vec_id"))).filter(F.col("nth") <= k + 1)
+    near = near.join(members.select("rep", "vec_id"), "rep").withColumn("nth", F.row_number().over(best("qrep", "vec_id"))).filter(F.col("nth") <= k + 1)
     return (
-        asked.select("query_id", F.col("rep").alias("qrep")).join(near.select("qrep", "vec_id", "score"), "qrep")
+        asked.withColumnRenamed("rep", "qrep").join(near.select("qrep", "vec_id", "score"), "qrep")
         .filter("vec_id != query_id")
         .withColumn("rank", F.row_number().over(best("query_id", "vec_id"))).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
