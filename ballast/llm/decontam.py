@@ -19,13 +19,14 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, row_key, small_batches, staged
+from ballast.llm.common import bounded_broadcast, row_key, small_batches, staged, task
 from ballast.llm.text_hash import U, word_arrays
 
 K1, B = 1.2, 0.75
@@ -107,20 +108,34 @@ class Index:
         self.terms = {w: n for n, w in enumerate(sorted(found))}
         self.postings: list[list[int]] = []
         self.impacts: list[list[float]] = []
-        self.block_max = np.zeros((len(found), self.n_blocks))
-        for w, n in self.terms.items():
+        #: By term the blocks that hold it, and the largest impact in each.
+        self.blocks: list[list[int]] = []
+        self.maxima: list[list[float]] = []
+        for w in self.terms:
             items_of = sorted(found[w])
             values = [impact(w, k, found[w][k]) / own[k] for k in items_of]
             self.postings.append(items_of)
             self.impacts.append(values)
+            largest: dict[int, float] = {}
             for k, v in zip(items_of, values):
-                self.block_max[n, k // BLOCK] = max(self.block_max[n, k // BLOCK], v)
+                largest[k // BLOCK] = max(largest.get(k // BLOCK, 0.0), v)
+            self.blocks.append(list(largest))
+            self.maxima.append(list(largest.values()))
         # bounds of the rarer terms by term and block, and what all frequent terms can add in a block
-        bounds = self.block_max * ((self.block_max > 0).sum(axis=1, keepdims=True) <= FREQUENT)
-        self.frequent = (self.block_max - bounds).sum(axis=0)
-        term, self.bound_block = bounds.nonzero()
-        self.bound = bounds[term, self.bound_block]
-        self.bound_from = np.searchsorted(term, np.arange(len(found) + 1))
+        self.frequent = np.zeros(self.n_blocks)
+        rarer = [len(b) <= FREQUENT for b in self.blocks]
+        for blocks, maxima, rare in zip(self.blocks, self.maxima, rarer):
+            if not rare:
+                self.frequent[blocks] += maxima
+        self.bound_block = np.array([b for own, rare in zip(self.blocks, rarer) if rare for b in own], np.int64)
+        self.bound = np.array([v for own, rare in zip(self.maxima, rarer) if rare for v in own])
+        self.bound_from = np.concatenate([[0], np.cumsum([len(b) if rare else 0 for b, rare in zip(self.blocks, rarer)])]).astype(np.int64)
+
+    def most(self, term: int, block: int) -> float:
+        """The largest impact of a term in a block."""
+        own = self.blocks[term]
+        at = bisect_left(own, block)
+        return self.maxima[term][at] if at < len(own) and own[at] == block else 0.0
 
     def search(self, terms: list[int], blocks: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items of the given blocks whose score for the distinct terms reaches the threshold, by block-max WAND."""
@@ -129,14 +144,14 @@ class Index:
             end = (block + 1) * BLOCK
             cursors = []
             for t in terms:
-                if self.block_max[t, block] > 0:
+                if (most := self.most(t, block)) > 0:
                     at = bisect_left(self.postings[t], block * BLOCK)
-                    cursors.append([self.postings[t][at], at, t])
+                    cursors.append([self.postings[t][at], at, t, most])
             while cursors:
                 cursors.sort()
                 bound, pivot = 0.0, None
                 for c in cursors:
-                    bound += self.block_max[c[2], block]
+                    bound += c[3]
                     if bound >= threshold - 1e-9:
                         pivot = c[0]
                         break
@@ -144,7 +159,7 @@ class Index:
                     break
                 score, left = 0.0, []
                 for c in cursors:
-                    item, at, t = c
+                    item, at, t, most = c
                     own = self.postings[t]
                     if item < pivot:
                         at = bisect_left(own, pivot, at)
@@ -152,7 +167,7 @@ class Index:
                         score += self.impacts[t][at]
                         at += 1
                     if at < len(own) and own[at] < end:
-                        left.append([own[at], at, t])
+                        left.append([own[at], at, t, most])
                 if score >= threshold - 1e-9:
                     found.append((pivot, score))
                 cursors = left
@@ -209,53 +224,80 @@ def scan(held: Indexes, rows: list[tuple[int, np.ndarray]], threshold: float):
         pairs = np.sort(np.concatenate([place, place[earlier] - 1]) * n_terms + np.concatenate([known, known[earlier]]))
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         place, known = pairs // n_terms, pairs % n_terms  # each passage's distinct terms
-        # block bounds of the passages: the rarer terms' own, and all of the frequent ones
-        n = index.bound_from[known + 1] - index.bound_from[known]
-        entry = np.repeat(index.bound_from[known] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bounds = np.bincount(np.repeat(place * n_blocks, n) + index.bound_block[entry], index.bound[entry], total * n_blocks).reshape(total, n_blocks)
-        span, block = np.nonzero(bounds >= threshold - index.frequent - 1e-9)
-        starts, ends = np.searchsorted(place, span), np.searchsorted(place, span + 1)
-        span_row = np.repeat(np.arange(len(rows)), spans)
-        for k, b, start, end in zip(span.tolist(), block.tolist(), starts.tolist(), ends.tolist()):
-            for item, score in index.search(known[start:end].tolist(), [b], threshold):
-                row = span_row[k]
-                yield rows[row][0], item, index, (k - int(first_span[row])) * width, score
-
-
-#: Words looked at together; documents are never cut, so one very long document may be more.
+        # block bounds of the passages, so many at once: the rarer terms' own, and all of the frequent ones
+        at_once = max(1, CELLS // n_blocks)
+        for low in range(0, total, at_once):
+            high = min(total, low + at_once)
+            begin, end = np.searchsorted(place, [low, high])
+            terms_of, place_of = known[begin:end], place[begin:end]
+            n = index.bound_from[terms_of + 1] - index.bound_from[terms_of]
+            entry = np.repeat(index.bound_from[terms_of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cells = np.repeat((place_of - low) * n_blocks, n) + index.bound_block[entry]
+            bounds = np.bincount(cells, index.bound[entry], (high - low) * n_blocks).reshape(high - low, n_blocks)
+            span, block = np.nonzero(bounds >= threshold - index.frequent - 1e-9)
+            starts, ends = np.searchsorted(place_of, span + low), np.searchsorted(place_of, span + low + 1)
+            span_row = np.searchsorted(first_span, span + low, "right") - 1
+            for k, b, row, start, stop in zip((span + low).tolist(), block.tolist(), span_row.tolist(), starts.tolist(), ends.tolist()):
+                for item, score in index.search(terms_of[start:stop].tolist(), [b], threshold):
+                    yield rows[row][0], item, index, (k - int(first_span[row])) * width, score
+
+
+#: Words of several documents looked at together; longer documents are cut into spans of so many words that overlap by a passage.
 GROUP = 1 << 16
+#: Passages times blocks whose bounds are in memory at once.
+CELLS = 1 << 22
 
 
+class Words:
+    """Any run of words of a text, without a list of all."""
+
+    EVERY = 1024
+
+    def __init__(self, text: str):
+        self.text = text.lower()
+        self.marks = [m.start() for k, m in enumerate(_word.finditer(self.text)) if k % self.EVERY == 0]
+
+    def between(self, begin: int, end: int) -> list[str]:
+        if begin // self.EVERY >= len(self.marks):
+            return []
+        found = _word.finditer(self.text, self.marks[begin // self.EVERY])
+        return [m[0] for m in islice(found, begin % self.EVERY, end - begin + begin % self.EVERY)]
+
+
+@task("decontam")
 def _scanned(batches, held, threshold, wanted):
     indexes = held.value
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         texts = batch.column("text").to_pylist()
         best: dict[tuple, tuple[float, float, float]] = {}
-        words: dict[int, list[str]] = {}  # of the row looked at last
-        group: list[tuple[int, np.ndarray]] = []
+        words: dict[int, Words] = {}  # of the row looked at last
+        group: list[tuple[tuple[int, int], np.ndarray]] = []  # (row, first word) and hashes
         n = 0
 
         def flush():
-            for row, item, index, begin, score in scan(indexes, group, threshold):
+            for (row, first), item, index, begin, score in scan(indexes, group, threshold):
                 if row not in words:
                     words.clear()
-                    words[row] = words_of(texts[row])
-                passage = words[row][begin : begin + 2 * index.width]
+                    words[row] = Words(texts[row])
+                passage = words[row].between(first + begin, first + begin + 2 * index.width)
                 question, answer = (overlap(part, passage) for part in question_and_answer(index.texts[item]))
                 if question >= wanted and answer >= wanted:
                     found = (score, question, answer)
                     key = (row, index.ids[item])
                     best[key] = max(best.get(key, found), found)
 
-        for row, hashes in enumerate(word_arrays(texts, _separators, str.lower)):
-            if len(hashes):
-                group.append((row, hashes))
-                n += len(hashes)
-            if n >= GROUP and indexes.indexes:
-                flush()
-                group, n = [], 0
-        if group and indexes.indexes:
+        # a document's parts begin where a span of every width begins; each reaches a passage into the next
+        widest = max((index.width for index in indexes.indexes), default=1)
+        step, beyond = -(-GROUP // widest) * widest, 2 * widest
+        for row, hashes in enumerate(word_arrays(texts, _separators, str.lower) if indexes.indexes else ()):
+            for first in range(0, len(hashes), step):
+                group.append(((row, first), hashes[first : first + step + beyond]))
+                n += len(group[-1][1])
+                if n >= GROUP:
+                    flush()
+                    group, n = [], 0
+        if group:
             flush()
         keys = sorted(best, key=repr)
         columns = [pa.array([ids[r] for r, _ in keys], pa.int64()), pa.array([i for _, i in keys], pa.int64())]
@@ -263,6 +305,7 @@ def _scanned(batches, held, threshold, wanted):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
 
+@task("decontam")
 def _item_words(batches):
     """(shard, word, n, total) of the items of a batch: how many hold a word; under no word their number and their words in all."""
     for batch in batches:
