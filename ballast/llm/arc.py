@@ -19,18 +19,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.llm.common import fresh_path, small_batches
+from ballast.llm.common import fresh_path, small_batches, task
 
 #: Fields of a header line by version.
 FIELDS = {1: 5, 2: 10}
 END = "\r\n\r\n"
-#: Pages of one archive file.
-FILE_RECORDS = 4000
+#: Records of a WARC file at most, and about how many bytes of payload.
+FILE_RECORDS, FILE_BYTES = 4000, 64 << 20
+#: Records of an ARC file at most, and at about how many bytes of payload it ends.
+ARC_RECORDS, ARC_BYTES = 100, 4 << 20
 #: Rows of a broadcast table of digests, about 60 bytes each; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 200_000
 _blank = re.compile(r"[\s\x00-\x20\x7f]")
@@ -155,19 +158,48 @@ def unpacked(data: bytes) -> bytes:
     return b"".join([*out, data])
 
 
+def _pieces(data: bytes, size: int = 1 << 18) -> Iterator[bytes]:
+    """The data in pieces, those of gzip members unpacked."""
+    left = memoryview(data)
+    while len(left):
+        if left[:2] != b"\x1f\x8b":
+            yield bytes(left[:size])
+            left = left[size:]
+            continue
+        unzip = zlib.decompressobj(31)
+        while not unzip.eof:
+            if not len(left):
+                raise ValueError("a gzip member ends too early")
+            piece, left = left[:size], left[size:]
+            while len(piece) or unzip.unconsumed_tail:
+                yield unzip.decompress(unzip.unconsumed_tail or piece, size)
+                piece = b""
+                if unzip.eof:
+                    break
+        left = memoryview(data)[len(data) - len(left) - len(unzip.unused_data) :]
+
+
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of every record of a WARC file, gzip or not."""
-    data = unpacked(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n") if end >= 0 else [""]
+    """Header fields (names in lower case) and block of every record of a WARC file, gzip or not, a record in memory at a time."""
+    held, pieces, at = bytearray(), _pieces(data), 0
+    while True:
+        while (end := held.find(END.encode())) < 0 and (piece := next(pieces, None)) is not None:
+            held += piece
+        if not held:
+            return
+        lines = held[:end].decode().split("\r\n") if end >= 0 else [""]
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + len(END)
+        begin, size = end + len(END), int(fields["content-length"])
+        whole = begin + size + len(END)
+        while len(held) < whole and (piece := next(pieces, None)) is not None:
+            held += piece
+        if len(held) < begin + size:
+            raise ValueError(f"the record at byte {at} ends before its declared length")
+        yield fields, bytes(held[begin : begin + size])
+        del held[:whole]
+        at += whole
 
 
 def convert(archive: bytes, name: str) -> bytes:
@@ -175,32 +207,35 @@ def convert(archive: bytes, name: str) -> bytes:
     return b"".join(head.encode() + block + END.encode() for head, block in (warc_record(r, name) for r in read_arc(archive)))
 
 
+@task("arc")
 def _converted(batches):
-    """Pages as the records of ARC files, alternately of version 1 and 2, and these as WARC records without their end."""
-    for number, batch in enumerate(batches):
-        version = 1 + number % 2
+    """Pages as the records of ARC files, of version 1 or 2 by the first page's id, and these as WARC records without their end."""
+    for batch in batches:
         pages = batch.column("page_id").to_pylist()
         urls, bodies, targets = (batch.column(c).to_pylist() for c in ("url", "html", "refers_to"))
-        out = []
-        for k in range(len(pages)):  # a page at a time, so that a batch of large pages isn't held twice
-            payload = (bodies[k] or "").encode("utf-8", "surrogatepass")
-            bodies[k] = None
-            name = f"pages-{pages[k]}.arc"
-            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-            start = arc_start(name, version)
-            (record,) = read_arc(start + arc_record(urls[k], http, version, name, len(start)))
-            extra = {"X-Page-Id": "" if pages[k] is None else str(pages[k])}
-            target = targets[k]
-            if target is not None:
-                extra["X-Refers-To-Page"] = str(target)
-            head, block = warc_record(record, name, extra, None if target is None else f"urn:page:{target}")
-            out.append(head + block.decode("utf-8", "surrogatepass"))
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], ["value"])
-                out = []
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-
+        first = 0
+        while first < len(pages):
+            version, name = 1 + crc32(str(pages[first]).encode()) % 2, f"pages-{pages[first]}.arc"
+            archive, end = bytearray(arc_start(name, version)), first
+            while end < len(pages) and end - first < ARC_RECORDS and len(archive) < ARC_BYTES:
+                payload = (bodies[end] or "").encode("utf-8", "surrogatepass")
+                bodies[end] = None
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+                archive += arc_record(urls[end], http, version, name, len(archive))
+                end += 1
+            out = []
+            for k, record in zip(range(first, end), read_arc(bytes(archive)), strict=True):
+                extra = {"X-Page-Id": "" if pages[k] is None else str(pages[k])}
+                target = targets[k]
+                if target is not None:
+                    extra["X-Refers-To-Page"] = str(target)
+                head, block = warc_record(record, name, extra, None if target is None else f"urn:page:{target}")
+                out.append(head + block.decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            first = end
+
+
+@task("arc")
 def _read_back(batches):
     for batch in batches:
         for content in batch.column("content"):
@@ -241,9 +276,10 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     target = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("kept")), F.col("kept"))
     marked = rows.join(groups, "sha", "left").select("page_id", "url", "html", target.alias("refers_to"))
     records = marked.mapInArrow(_converted, "value string")
+    mean = rows.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     (
         records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
-        .option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        .option("maxRecordsPerFile", max(1, min(FILE_RECORDS, int(FILE_BYTES / (mean + 1000))))).text(path)
     )
 
 
