@@ -105,16 +105,15 @@ def _near_cells(points: DataFrame, lines: DataFrame) -> DataFrame:
     cells = points.select("scene_id", key("x", CELLS[-1]).alias("__kx"), key("y", CELLS[-1]).alias("__ky")).distinct()
     cells = cells.withColumn("__gx", F.floor((F.col("__kx") + 0.5) * CELLS[-1] / CELLS[0])).withColumn("__gy", F.floor((F.col("__ky") + 0.5) * CELLS[-1] / CELLS[0]))
 
-    def narrowed(side: float, kx: str, ky: str):
+    def narrowed(side: float, kx: str, ky: str) -> Column:
         mx, my = (F.col(kx) + 0.5) * side, (F.col(ky) + 0.5) * side
         far = lambda v: F.sqrt((v["px"] - mx) * (v["px"] - mx) + (v["py"] - my) * (v["py"] - my))
-        return F.filter("line", lambda v: far(v) <= F.col("__least") + side * 2**0.5 * (1 + 1e-9)), F.array_min(F.transform("line", far))
+        # bound by a lambda: as a column the optimizer puts it into the filter, where it is found anew for every element
+        least = F.array(F.array_min(F.transform("line", far)))
+        return F.get(F.transform(least, lambda m: F.filter("line", lambda v: far(v) <= m + side * 2**0.5 * (1 + 1e-9))), F.lit(0)).alias("line")
 
-    coarse = cells.select("scene_id", "__gx", "__gy").distinct().join(lines, "scene_id")
-    keep, least = narrowed(CELLS[0], "__gx", "__gy")
-    coarse = coarse.withColumn("__least", least).select("scene_id", "__gx", "__gy", keep.alias("line"))
-    keep, least = narrowed(CELLS[-1], "__kx", "__ky")
-    fine = cells.join(coarse, ["scene_id", "__gx", "__gy"]).withColumn("__least", least).select("scene_id", "__kx", "__ky", keep.alias("line"))
+    coarse = cells.select("scene_id", "__gx", "__gy").distinct().join(lines, "scene_id").select("scene_id", "__gx", "__gy", narrowed(CELLS[0], "__gx", "__gy"))
+    fine = cells.join(coarse, ["scene_id", "__gx", "__gy"]).select("scene_id", "__kx", "__ky", narrowed(CELLS[-1], "__kx", "__ky"))
     fine = bounded_broadcast(staged(fine, "near-cells"))
     placed = points.withColumn("__kx", key("x", CELLS[-1])).withColumn("__ky", key("y", CELLS[-1]))
     return placed.join(fine, ["scene_id", "__kx", "__ky"]).drop("__kx", "__ky")

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -178,3 +180,14 @@ def test_width_margin_trims_sections(spark):
     kept = lambda **more: sorted(r["point_id"] for r in sections.rotate(given, **more).collect())
     assert kept() == kept(margin=1.0) == list(range(11))
     assert kept(margin=-2.0) == kept(margin=-2.0, centre_x=True) == list(range(2, 9))
+
+
+def test_nearest_vertex_of_a_dense_line_takes_time_in_proportion(spark):
+    n = 3000
+    u = np.linspace(0, 60, n)
+    line = spark.createDataFrame([(0, i, float(u[i]), 0.0, float(u[i])) for i in range(n)], "scene_id long, vtx int, cx double, cy double, s double")
+    rows = [(0, int(i), float(x), float(y)) for i, (x, y) in enumerate((x, y) for x in np.arange(0.37, 60, 2) for y in (-3.0, -1.0, 1.0, 3.0))]
+    began = time.monotonic()
+    got = {r["point_id"]: r["vtx"] for r in centerline.nearest_vertex(spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double"), line).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {i: int(np.argmin((u - x) ** 2 + y**2)) for _, i, x, y in rows}
