@@ -35,7 +35,12 @@ class DitchPlan:
     """The stages as DataFrames; ``points``: scene_id, point_id, x, y, z, label.  Scenes without embankment stay as they are."""
 
     def __init__(self, points: DataFrame, config: DitchConfig = DitchConfig()):
-        self.points, self.c = points, config
+        self.given, self.c = points, config
+
+    @cached_property
+    def points(self) -> DataFrame:
+        """Written once: they are often another segmenter's result and read three times."""
+        return staged(self.given.select("scene_id", "point_id", "x", "y", "z", "label"), "ditch-given")
 
     @cached_property
     def normalised(self) -> DataFrame:

@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ballast import oracles, queries
+from ballast.plans.ditch import segment_ditches
 from ballast.plans.embankment import segment_embankment
 from ballast.sources import scene
 
@@ -56,6 +58,19 @@ def test_no_tracks_leaves_labels(spark):
     assert after == {r["point_id"]: r["label"] for r in points.collect()}
 
 
+def test_ditches_compute_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("smallint")
+    def counted(label):
+        read.add(1)
+        return 10 if label == 0 else label
+
+    points = scene.points(spark, SF)
+    after = segment_ditches(points.withColumn("label", counted("label"))).collect()
+    assert len(after) == read.value == points.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["scene_id", "point_id", "label"]
 
