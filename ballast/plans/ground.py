@@ -34,7 +34,8 @@ class GroundPlan:
 
     @cached_property
     def rail_ids(self) -> DataFrame:
-        return proximity.within(self.classes, self.rail_points, self.c.rail_radius, ["scene_id"]).select("scene_id", "point_id")
+        """Each id once, as points are joined with them: rows of a repeated id would be multiplied."""
+        return proximity.within(self.classes, self.rail_points, self.c.rail_radius, ["scene_id"]).select("scene_id", "point_id").distinct()
 
     @cached_property
     def normalised(self) -> DataFrame:

@@ -34,6 +34,30 @@ def test_query_equals_sql(spark, db, name):
     assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(found.fetchall(), key=repr)
 
 
+@pytest.fixture(scope="module")
+def repeated(tmp_path_factory):
+    """Tables in which ids repeat: 300 orders come again with another price, 300 others as they are."""
+    path = tmp_path_factory.mktemp("repeated")
+    con = duckdb.connect()
+    orders = f"SELECT * FROM '{SF}/orders.parquet'"
+    other = f"SELECT * REPLACE (o_totalprice + 3e-2 AS o_totalprice) FROM ({orders}) WHERE o_orderkey < 300"
+    con.execute(f"COPY ({orders} UNION ALL {other} UNION ALL {orders} WHERE o_orderkey BETWEEN 600 AND 899) TO '{path}/orders.parquet'")
+    for t in ("nation", "region"):
+        con.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet') TO '{path}/{t}.parquet'")
+    for t in ("orders", "nation", "region"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    return str(path), con
+
+
+@pytest.mark.parametrize("name", ["rail_mask", "centerline_vertices"])
+def test_query_equals_sql_with_repeated_ids(spark, repeated, name):
+    sf, con = repeated
+    got = queries.queries()[name](spark, sf)
+    found = con.execute(oracles.all_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
+
+
 def test_labels_keep_other_classes(spark):
     points = scene.points(spark, SF)
     before = {r["point_id"]: r["label"] for r in points.collect()}
