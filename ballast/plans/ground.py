@@ -61,7 +61,8 @@ class GroundPlan:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return sections.assign(self.normalised, self.line, self.cuts)
+        """Rows that are equal in every column count as one point; rows that share only the id are points of their own."""
+        return sections.assign(self.normalised.distinct(), self.line, self.cuts)
 
     @cached_property
     def rotated(self) -> DataFrame:
