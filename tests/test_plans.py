@@ -49,7 +49,7 @@ def repeated(tmp_path_factory):
     return str(path), con
 
 
-@pytest.mark.parametrize("name", ["rail_mask", "centerline_vertices", "section_assign"])
+@pytest.mark.parametrize("name", ["rail_mask", "centerline_vertices", "section_assign", "rotate_section"])
 def test_query_equals_sql_with_repeated_ids(spark, repeated, name):
     sf, con = repeated
     got = queries.queries()[name](spark, sf)
