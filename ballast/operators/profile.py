@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions.units import steady_mean
+
 SECTION = ["scene_id", "section_id"]
 SIDE = [*SECTION, "side"]
 
@@ -13,7 +15,7 @@ def xz_profile(points: DataFrame, bin_size: float, is_rail: Column) -> DataFrame
     """scene_id, section_id, bin, x (the bin's middle), z (mean), n, rail (does any rail point lie in it)."""
     start = points.groupBy(*SECTION).agg(F.min("rx").alias("x0"))
     binned = points.join(start, SECTION).withColumn("bin", F.floor((F.col("rx") - F.col("x0")) / bin_size))
-    return binned.groupBy(*SECTION, "x0", "bin").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"), F.bool_or(is_rail).alias("rail")).select(
+    return binned.groupBy(*SECTION, "x0", "bin").agg(steady_mean("z").alias("z"), F.count(F.lit(1)).alias("n"), F.bool_or(is_rail).alias("rail")).select(
         *SECTION, "bin", (F.col("x0") + (F.col("bin") + 0.5) * bin_size).alias("x"), "z", "n", "rail"
     )
 

@@ -1,9 +1,12 @@
 """Hand-made profiles against intervals worked out by hand."""
 
+import math
+
 import numpy as np
 import pytest
 
 from ballast.config import GroundConfig
+from ballast.functions.units import steady_mean
 from ballast.operators import profile, split
 
 BIN = 0.25
@@ -51,6 +54,16 @@ def test_split(spark, z, near, far, emb_end, kinds):
     assert result(spark, z, config(graph_ditch_search_min_m=float(near), graph_ditch_search_max_m=float(far))) == (emb_end, kinds)
 
 
+def test_steady_mean(spark):
+    values = np.random.default_rng(1).permutation([0.1, 0.2, 0.3, 2.612, -7.005, 1 / 3, 5900000.123, 6_800_000.001, 1e-9] * 40)
+    for some in (values, np.sort(values), np.sort(values)[::-1], values[values < 100]):
+        df = spark.createDataFrame([(float(v),) for v in some], "v double").repartition(3)
+        assert df.agg(steady_mean("v")).first()[0] == math.fsum(some) / len(some)
+    assert spark.createDataFrame([(None,), (1.5,), (2.5,)], "v double").agg(steady_mean("v")).first()[0] == 2
+    assert spark.createDataFrame([(None,)], "v double").agg(steady_mean("v")).first()[0] is None
+    assert math.isnan(spark.createDataFrame([(math.inf,), (1.0,)], "v double").agg(steady_mean("v")).first()[0])
+
+
 def test_single_bin_has_no_kind(spark):
     assert split.split_ground(profile.gradient(profile.moving_mean(sides(spark, [1.0]), 1)), config()).count() == 0
 
