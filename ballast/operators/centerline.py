@@ -7,20 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions.units import steady_mean
 from ballast.storage import bounded_broadcast, staged
 
 
 def nodes(points: DataFrame, voxel: float) -> DataFrame:
     """One node per scene and xy voxel: the mean of its points."""
     key = lambda c: F.floor(F.col(c) / voxel)
-    return points.groupBy("scene_id", key("x").alias("kx"), key("y").alias("ky")).agg(F.avg("x").alias("nx"), F.avg("y").alias("ny"))
+    return points.groupBy("scene_id", key("x").alias("kx"), key("y").alias("ky")).agg(steady_mean("x").alias("nx"), steady_mean("y").alias("ny"))
 
 
 def principal_axis(nodes: DataFrame) -> DataFrame:
     """scene_id, mx, my, fx, fy: the mean node and the axis of largest variance, with fx > 0 (or fy > 0 where fx is 0)."""
-    moments = nodes.groupBy("scene_id").agg(
-        F.avg("nx").alias("mx"), F.avg("ny").alias("my"), F.covar_pop("nx", "ny").alias("sxy"), F.var_pop("nx").alias("sxx"), F.var_pop("ny").alias("syy")
-    )
+    means = nodes.groupBy("scene_id").agg(steady_mean("nx").alias("mx"), steady_mean("ny").alias("my"))
+    dx, dy = F.col("nx") - F.col("mx"), F.col("ny") - F.col("my")
+    moments = nodes.join(means, "scene_id").groupBy("scene_id", "mx", "my").agg(steady_mean(dx * dy).alias("sxy"), steady_mean(dx * dx).alias("sxx"), steady_mean(dy * dy).alias("syy"))
     angle = F.atan2(2 * F.col("sxy"), F.col("sxx") - F.col("syy")) / 2
     return moments.select("scene_id", "mx", "my", F.cos(angle).alias("fx"), F.sin(angle).alias("fy"))
 

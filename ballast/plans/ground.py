@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.config import GroundConfig
+from ballast.functions.units import steady_mean
 from ballast.operators import centerline, profile, proximity, sections, smooth, split, tracks
 from ballast.storage import bounded_broadcast, staged
 
@@ -42,7 +43,7 @@ class GroundPlan:
         """Working labels (temporary: on the tracks; else ground) and coordinates less the mean x and y and the least z; scenes without rail points go."""
         marked = self.classes.join(self.rail_ids.withColumn("__r", F.lit(True)), ["scene_id", "point_id"], "left")
         marked = marked.withColumn("is_rail", F.coalesce("__r", F.lit(False))).drop("__r")
-        origin = marked.groupBy("scene_id").agg(F.avg("x").alias("x0"), F.avg("y").alias("y0"), F.min("z").alias("z0"), F.bool_or("is_rail").alias("any")).filter("any").drop("any")
+        origin = marked.groupBy("scene_id").agg(steady_mean("x").alias("x0"), steady_mean("y").alias("y0"), F.min("z").alias("z0"), F.bool_or("is_rail").alias("any")).filter("any").drop("any")
         origin = bounded_broadcast(staged(origin, "origin"))  # a row for each scene: its points needn't meet
         out = marked.join(origin, "scene_id").select(
             "scene_id", "point_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), (F.col("z") - F.col("z0")).alias("z"),
