@@ -19,6 +19,9 @@ MAX_BROADCAST_ROWS = 400_000
 #: Rows that are sent to Python at once, and about how many bytes: a batch is in memory several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+#: Bytes that are worth a file of their own.
+FILE_BYTES = 1 << 20
+
 _local_dir: str | None = None
 
 #: What empties the caches that a Python worker holds, by operator.
@@ -85,13 +88,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ballast/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table.
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder, in no more than ``files`` files if given, and returns the written table.
 
     This cuts lineage and survives the loss of executors.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,6 +110,18 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def few_files(spark: SparkSession, path: str) -> int | None:
+    """In how many files tables of about the size of that at ``path`` are written; None if the session makes no more than twice as many.
+
+    For each new file Hadoop's local file system starts a process, for whose
+    first moment an executor's memory counts twice.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    files = max(2 * spark.sparkContext.defaultParallelism, size // FILE_BYTES)
+    return files if int(spark.conf.get("spark.sql.shuffle.partitions")) > 2 * files else None
+
+
 def row_key() -> Column:
     """A key of a row of ``docs(doc_id, text)`` that is never null: rows of the same key hold the same id and text."""
     return F.xxhash64("doc_id", "text")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballast.llm.common import bounded_broadcast, fresh_path, row_key, small_batches, staged, task
+from ballast.llm.common import bounded_broadcast, few_files, fresh_path, row_key, small_batches, staged, task
 from ballast.llm.text_hash import U as _U
 from ballast.llm.text_hash import mix as _mix
 from ballast.llm.text_hash import word_arrays
@@ -300,12 +300,12 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, files: int | None = None) -> DataFrame:
     """(node, shingles) of the distinct nodes of ``wanted``, made anew from one document each."""
-    wanted = staged(wanted.distinct().join(nodes.select("node", "rep"), "node"), "wanted")
+    wanted = staged(wanted.distinct().join(nodes.select("node", "rep"), "node"), "wanted", files)
     reps = bounded_broadcast(wanted.select(F.col("rep").alias("__rep")).distinct())
     texts = docs.join(reps, docs["doc_id"].eqNullSafe(F.col("__rep")), "left_semi").select("text")
-    return staged(texts.mapInArrow(_sets, "node long, shingles binary").join(bounded_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return staged(texts.mapInArrow(_sets, "node long, shingles binary").join(bounded_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"]), "sets", files)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def _differences(batches):
         yield pa.RecordBatch.from_arrays(columns, ["hub", "node", "apart", "n", "hub_n", "d", "linked", "elements"])
 
 
-def delta_entries(family: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def delta_entries(family: DataFrame, sets: DataFrame, files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) of hubs with their members, and entries of smaller groups for the members that are not similar to them.
 
     ``family`` has distinct rows (hub, node, apart): apart, if they are in
@@ -353,18 +353,18 @@ def delta_entries(family: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     share is among so many: ``d`` less that number, plus 1.  Those are the keys
     under which x asks and y answers.
     """
-    hubs = staged(sets.join(bounded_broadcast(family.select(F.col("hub").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set")), "hubs")
+    hubs = staged(sets.join(bounded_broadcast(family.select(F.col("hub").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set")), "hubs", files)
     size = hubs.agg(F.sum(F.octet_length("hub_set"))).first()[0] or 0
     hubs = F.broadcast(hubs) if size <= MAX_BROADCAST_BYTES else hubs
     rows = family.join(sets.select("node", F.col("shingles").alias("set")), "node").join(hubs, "hub").select("hub", "node", "apart", "hub_set", "set")
-    rows = staged(rows.mapInArrow(_differences, "hub long, node long, apart boolean, n int, hub_n int, d int, linked boolean, elements array<long>"), "differences")
+    rows = staged(rows.mapInArrow(_differences, "hub long, node long, apart boolean, n int, hub_n int, d int, linked boolean, elements array<long>"), "differences", files)
     links = rows.filter("apart and linked").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     asks = F.col("apart") & ~F.col("linked")
     of_x = F.when(asks, F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("hub_n")) / 18))).otherwise(0)
     of_y = F.col("d") + 1 - F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") + F.col("hub_n") + 1) / 18))
     open_hubs = rows.filter(asks).select("hub").distinct()
     each = rows.join(bounded_broadcast(open_hubs), "hub", "left_semi").select("hub", "node", "n", of_x.alias("of_x"), of_y.alias("of_y"), F.explode("elements").alias("element"))
-    often = staged(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c")), "often")
+    often = staged(each.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("c")), "often", files)
     by_member = Window.partitionBy("hub", "node")
     placed = (
         each.join(bounded_broadcast(often.filter("c > 1")), ["hub", "element"], "left").fillna(1, ["c"])
@@ -400,7 +400,7 @@ def _united(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(find, nodes)), pa.int64())], ["node", "comp"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(node, comp): for each node of the links (a, b) the smallest node it reaches.
 
     Up to MAX_LOCAL_LINKS links one task unites; more are brought down to stars
@@ -408,18 +408,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     if links.limit(MAX_LOCAL_LINKS + 1).count() <= MAX_LOCAL_LINKS:
         return links.coalesce(1).mapInArrow(_united, "node long, comp long")
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges", files)
     while True:
         both = edges.select("u", "v", F.lit(1).alias("down")).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("down")))
         # a star's outer nodes have one edge, down to its centre, which has none
         ends = both.groupBy("u").agg(F.min("v").alias("m"), F.sum("down").alias("down"), F.count(F.lit(1)).alias("n"))
-        ends = staged(ends.select("u", F.least("u", "m").alias("m"), ((F.col("down") > 0) & (F.col("n") > 1)).alias("deep")), "ends")
+        ends = staged(ends.select("u", F.least("u", "m").alias("m"), ((F.col("down") > 0) & (F.col("n") > 1)).alias("deep")), "ends", files)
         if ends.filter("deep").isEmpty():
             break
         large = both.join(ends, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "down")
+        down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "down", files)
         small = large.join(down, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = staged(small.filter("u > v").distinct(), "edges")
+        edges = staged(small.filter("u > v").distinct(), "edges", files)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
@@ -440,12 +440,12 @@ def _as(prefix: str) -> list:
     return [F.col(c).alias(f"{prefix}{c}") for c in _MEMBER]
 
 
-def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, int | None]:
     """Membership (doc_id, node, n, comp) of every row of ``docs(doc_id, text)`` and the links (a, b) found between nodes.
 
     Nodes are sets; comp is a node of the component.  Links join all nodes that
     are connected by similar pairs, though not every similar pair within a
-    component is listed.
+    component is listed.  The third value is what ``few_files`` gives for tables made of these.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -456,11 +456,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt).sortWithinPartitions("key", "node", "tag")
     entries.mapInArrow(_shared_keys, f"{_ENTRY}, c long").write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
+    files = few_files(spark, path)
     found = spark.read.schema(f"{_ENTRY}, c long").parquet(path)
     members = found.filter("tag < 0").select(F.col("node").alias("doc_id"), F.col("key").alias("node"), (-1 - F.col("tag")).alias("n"), "sketch")
     sketches = members.filter("n >= 4").select("node", "sketch")
     members = members.drop("sketch")
-    nodes = staged(members.filter("n >= 4").groupBy("node", "n").agg(F.min("doc_id").alias("rep")).mapInArrow(_needs, "node long, n int, rep long, need int, capacity int, units int"), "nodes")
+    nodes = staged(members.filter("n >= 4").groupBy("node", "n").agg(F.min("doc_id").alias("rep")).mapInArrow(_needs, "node long, n int, rep long, need int, capacity int, units int"), "nodes", files)
 
     by_node, by_segment = Window.partitionBy("node"), Window.partitionBy("node", "segment")
     own = (
@@ -489,7 +490,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def candidates(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-        return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs", files)
 
     def compared(pairs: DataFrame) -> None:
         nonlocal tested
@@ -499,7 +500,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def linked(new: DataFrame) -> None:
         nonlocal links
-        new = staged(new, "links")
+        new = staged(new, "links", files)
         links = new if links is None else links.union(new)
 
     def several(entries: DataFrame, *more) -> DataFrame:
@@ -511,24 +512,24 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     for level in range(LEVELS + 1):
         first = level == 0
-        entries = staged(with_components(entries, comps), "entries")
+        entries = staged(with_components(entries, comps), "entries", files)
         hubs = several(entries, F.max(F.struct("central", *_MEMBER)).alias("hub"))
-        hubs = staged(hubs.select("key", "hub.*").select("key", *_as("x_")), "hubs")
+        hubs = staged(hubs.select("key", "hub.*").select("key", *_as("x_")), "hubs", files)
         if hubs.isEmpty():
             break
         if sets is None:
-            sets = sets_of(entries.join(hubs.select("key"), "key", "left_semi").select("node"), nodes, docs)
+            sets = sets_of(entries.join(hubs.select("key"), "key", "left_semi").select("node"), nodes, docs, files)
         compared(candidates(hubs.join(entries.select("key", *_as("y_")), "key").filter(_pairs("x_", "y_", first))))
-        comps = staged(components(links), "components") if links is not None else None
+        comps = staged(components(links, files), "components", files) if links is not None else None
         rest = entries.drop("comp").join(hubs.select("key", F.col("x_node").alias("hub")), "key").filter("node != hub")
-        rest = staged(with_components(rest, comps), "rest")
-        sizes = staged(several(rest), "sizes")
+        rest = staged(with_components(rest, comps), "rest", files)
+        sizes = staged(several(rest), "sizes", files)
         if sizes.isEmpty():
             break
         # small groups: all pairs of different components whose sketches don't differ by too much
         few = sizes.filter(F.col("size") <= SMALL) if level < LEVELS else sizes
         few = rest.join(few.select("key"), "key", "left_semi")
-        drawn = staged(few.join(sketches.join(few.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "drawn")
+        drawn = staged(few.join(sketches.join(few.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node"), "drawn", files)
         ones, others = (drawn.select("key", *_as(p), F.col("sketch").alias(f"{p}sketch")) for p in ("x_", "y_"))
         alike = (F.col("x_node") < F.col("y_node")) & (_differing("x_sketch", "y_sketch") <= F.floor((F.col("x_n") + F.col("y_n")) / 9))
         compared(candidates(ones.join(others, "key").filter(_pairs("x_", "y_", first) & alike)))
@@ -539,13 +540,13 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         family = rest.join(large, "key", "left_semi").select("hub", "node", "comp")
         of_hubs = with_components(family.select(F.col("hub").alias("node")).distinct(), comps)
         family = family.join(bounded_broadcast(of_hubs.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))), "hub")
-        family = staged(family.groupBy("hub", "node").agg(F.bool_or(F.col("comp") != F.col("hub_comp")).alias("apart")), "family")
-        new, entries = delta_entries(family, sets)
+        family = staged(family.groupBy("hub", "node").agg(F.bool_or(F.col("comp") != F.col("hub_comp")).alias("apart")), "family", files)
+        new, entries = delta_entries(family, sets, files)
         linked(new)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
-        return members.withColumn("comp", F.col("node")), links
-    return with_components(members, staged(components(links), "components")).select("doc_id", "node", "n", "comp"), links
+        return members.withColumn("comp", F.col("node")), links, files
+    return with_components(members, staged(components(links, files), "components", files)).select("doc_id", "node", "n", "comp"), links, files
 
 
 def _differing(one: str, other: str) -> Column:
@@ -571,9 +572,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are equal sets, so they link.  A null doc_id stays null and is
     never the smallest.  Further columns are ignored.
     """
-    labelled, _ = join(docs)
+    labelled, _, files = join(docs)
     full = labelled.filter("n > 0")
-    names = staged(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names")  # written, so that the join can split a large component
+    names = staged(full.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "names", files)  # written, so that the join can split a large component
     return (
         full.join(names, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
         .union(labelled.filter("n = 0").select("doc_id", F.lit(0).cast("long"), "doc_id"))
@@ -588,11 +589,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     comes after all others.  Rows of empty sets all stay.
     """
     keyed = docs.withColumn("__row", row_key())
-    labelled, _ = join(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    labelled, _, files = join(keyed.select(F.col("__row").alias("doc_id"), "text"))
     found = labelled.filter("n > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.min("comp").alias("comp"), F.count(F.lit(1)).alias("n"))
-    found = staged(found.join(keyed.select("__row", "doc_id").distinct(), "__row"), "classes")
+    found = staged(found.join(keyed.select("__row", "doc_id").distinct(), "__row"), "classes", files)
     first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__row")).select("__row")
-    first = staged(first, "first")
+    first = staged(first, "first", files)
     others = bounded_broadcast(found.select("__row").join(bounded_broadcast(first), "__row", "left_anti"))
     kept = keyed.join(others, "__row", "left_anti")
     repeated = found.filter("n > 1").join(bounded_broadcast(first), "__row", "left_semi").select("__row")

@@ -3,10 +3,11 @@
 import random
 import textwrap
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
-from ballast.llm import decontam, license_scan, ngram_join, url_rules
+from ballast.llm import common, decontam, license_scan, ngram_join, url_rules
 
 DOCS = "doc_id long, text string"
 
@@ -156,6 +157,24 @@ def test_jaccard_of_large_groups(spark, monkeypatch, small, levels, local):
     assert bool(deeper) == (small < 100)
 
 
+def test_jaccard_writes_small_tables_in_few_files(spark):
+    rows = family(140, 60, 30)
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    folder = Path(common.shared_dir(spark).removeprefix("file://"), "ballast")
+    earlier = set(folder.glob("*"))
+    try:
+        for key, value in many.items():
+            spark.conf.set(key, value)
+        found = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == classes(rows)
+    written = {p.name: len(list(p.glob("part-*"))) for p in set(folder.glob("*")) - earlier if not p.name.startswith("shared-keys")}
+    assert len(written) > 8 and max(written.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 # URL rules
 
 
